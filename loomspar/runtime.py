@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import loomspar
+
+# Executors need no copy of this package: functions sent to Python workers carry their code with them.
+cloudpickle.register_pickle_by_value(loomspar)
+
 #: A key holding more than this share of the rows of a fact table is spread over SALTS sub-keys.
 #: At most 1 / HOT_SHARE keys can exceed it, which bounds the list that is broadcast.
 HOT_SHARE = 0.001
@@ -42,8 +48,8 @@ def spread_lookup(facts: DataFrame, dictionary: DataFrame, key: str, weight: str
     HOT_SHARE of all rows (at most 1 / HOT_SHARE of them, so they may be broadcast) are split into SALTS
     sub-keys by the hash of the fact column ``spread``; every other key is joined as it is. Null keys find nothing.
     """
-    total = dictionary.agg(F.sum(weight).alias("_total"))
-    hot = dictionary.crossJoin(F.broadcast(total)).filter(F.col(weight) > F.col("_total") * HOT_SHARE).select(F.col(key), F.lit(True).alias("_hot"))
+    total = dictionary.agg(F.sum(weight))
+    hot = dictionary.filter(F.col(weight) > total.scalar() * HOT_SHARE).select(F.col(key), F.lit(True).alias("_hot"))
     salted = (
         dictionary.join(F.broadcast(hot), key, "left")
         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
