@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from loomspar.llm import copies, sql
+from loomspar.llm import copies, pieces, sql
 
 QUERIES = {
+    "p4_found": pieces.found,
+    "p4_pieces": pieces.pieces,
     "p5_found": copies.found,
 }
 

@@ -32,3 +32,21 @@ select 'relation' as kind, kept_id, copy_id from rel_copies where kept_id < copy
 union all
 select 'graph' as kind, kept_id, copy_id from graph_copies where kept_id < copy_id
 """
+
+TEXTS["p4_found"] = r"""
+with limits as (
+  select used_for, min(max_size) as max_size from size_limits where unit = 'characters' group by used_for
+), val as (
+  select id, kind, 'text' as field, text as v from in_plain_text
+  union all
+  select id, kind, 'essay_content', essay_content from in_plain_text
+), core as (
+  select id, field, kind,
+    regexp_replace(regexp_replace(v, '^[\s\p{Z}\x{85}\x1c-\x1f]*(```)?[\s\p{Z}\x{85}\x1c-\x1f]*', ''), '[\s\p{Z}\x{85}\x1c-\x1f]*(```)?[\s\p{Z}\x{85}\x1c-\x1f]*$', '') as c
+  from val where v is not null
+)
+select distinct id, field from core
+left join limits n on n.used_for = core.kind and core.kind <> '*'
+left join limits r on r.used_for = '*'
+where length(c) > coalesce(n.max_size, r.max_size)
+"""
