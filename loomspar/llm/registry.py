@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from loomspar.llm import copies, pieces, sql
+from loomspar.llm import copies, leaks, pieces, sql
 
 QUERIES = {
     "p4_found": pieces.found,
     "p4_pieces": pieces.pieces,
     "p5_found": copies.found,
+    "p7_found": leaks.found,
+    "p7_leaks": leaks.leaks,
 }
 
 ORACLE_SQL = {name: text for name, text in sql.TEXTS.items() if name in QUERIES}
