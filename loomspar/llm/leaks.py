@@ -25,14 +25,14 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from loomspar.runtime import table
 
-Q = {"words": 6, "chars": 5}
+Q = {"words": 10, "chars": 5}
 EDITS = 2
 MIN_WORDS, MIN_CHARS = 10, 20
 #: Characters of items whose index one pass over the corpus holds in each worker (some 40 bytes for each).
 BLOCK_CHARS = 2_000_000
 #: Languages whose items are compared by characters, not words.
 UNSPACED = ("zh", "ja")
-_BATCH_CHARS = 1 << 21
+_BATCH_CHARS = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 RESULT = StructType(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomspar.llm import copies, leaks, pieces, sql
+from loomspar.llm import copies, leaks, pieces, sentences, sql
 
 QUERIES = {
+    "p2_found": sentences.found,
     "p4_found": pieces.found,
     "p4_pieces": pieces.pieces,
     "p5_found": copies.found,
