@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomspar.llm import copies, leaks, pieces, sentences, sql
+from loomspar.llm import canon, copies, leaks, pieces, sentences, sql
 
 QUERIES = {
+    "p1_found": canon.found,
     "p2_found": sentences.found,
     "p4_found": pieces.found,
     "p4_pieces": pieces.pieces,
