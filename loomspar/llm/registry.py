@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loomspar.llm import canon, copies, leaks, pieces, sentences, sql
+from loomspar.llm import canon, copies, identities, leaks, pieces, sentences, sql
 
 QUERIES = {
     "p1_found": canon.found,
     "p2_found": sentences.found,
+    "p3_found": identities.found,
+    "p3_links": identities.linked,
     "p4_found": pieces.found,
     "p4_pieces": pieces.pieces,
     "p5_found": copies.found,
