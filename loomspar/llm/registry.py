@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspar.llm import canon, copies, identities, leaks, pieces, sentences, sql
+from loomspar.llm import canon, copies, identities, leaks, packing, pieces, sentences, sql
 
 QUERIES = {
     "p1_found": canon.found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p4_found": pieces.found,
     "p4_pieces": pieces.pieces,
     "p5_found": copies.found,
+    "p6_sequences": packing.sequences,
+    "p6_long_sequences": packing.long_sequences,
     "p7_found": leaks.found,
     "p7_leaks": leaks.leaks,
 }
