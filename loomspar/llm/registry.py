@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspar.llm import canon, copies, identities, leaks, packing, pieces, sentences, sql
+from loomspar.llm import canon, copies, identities, leaks, packing, pieces, sentences, sql, subjects
 
 QUERIES = {
     "p1_found": canon.found,
@@ -16,6 +16,7 @@ QUERIES = {
     "p6_long_sequences": packing.long_sequences,
     "p7_found": leaks.found,
     "p7_leaks": leaks.leaks,
+    "p8_found": subjects.found,
 }
 
 ORACLE_SQL = {name: text for name, text in sql.TEXTS.items() if name in QUERIES}
