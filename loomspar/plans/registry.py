@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from loomspar.plans import text_queries
+
+MODULES = (text_queries,)
+FLAGSHIP = "f01_chunks"
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
