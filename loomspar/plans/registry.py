@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspar.plans import text_queries
+from loomspar.plans import graph_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, graph_queries)
 FLAGSHIP = "f01_chunks"
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
