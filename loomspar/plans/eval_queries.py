@@ -196,7 +196,7 @@ def w05_method_ranks(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.rank_methods(a21_method_statistics(spark, folder), "method").select("method", "metric", "rank", F.round("scaled", 5).alias("scaled"))
 
 
-@query(f"""with recursive {STRUCTURE}, words as (select graph_id, 0.25 as leakage, 0.8 as accuracy from baseline_kg)
+@query(f"""with recursive {STRUCTURE}, words as (select graph_id, cast(0.25 as double) as leakage, cast(0.8 as double) as accuracy from baseline_kg)
 select graph_id, round(accuracy * connectivity * (1 - leakage), 6) as egu, round(accuracy * connectivity, 6) as rwa, round(avg_degree * clustering * connectivity, 6) as sci, round(accuracy * leakage, 6) as leaked, round(accuracy * (1 - leakage) * (1 - connectivity), 6) as fragmented from per join words using (graph_id)""")
 def f26_composite_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Composite scores of each graph at a given accuracy and leakage."""
