@@ -85,12 +85,15 @@ def similarity(token: str, dotted: bool, word: str) -> float:
     return best
 
 
-def _keys(of_list: bool):
+def _keys(of_list: bool, longest: int):
+    """Join keys of tokens. A token that exceeds the longest word of the list by more than two letters can mean none of them."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for kind, token, dotted in zip(frame["kind"], frame["token"], frame["dotted"], strict=True):
-                # a skeleton may have gained or lost no letter; a truncated form starts the word
+                if len(token) > longest + 2:
+                    continue
                 keys = variants(token, edits_allowed(len(token)))
                 if of_list:
                     keys = keys | {"^" + token[:n] for n in range(1, len(token))} | {"~" + skeleton(token)}
@@ -140,8 +143,9 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     )
     counted = split.groupBy("key", "kind", "token", "dotted").agg(F.count("*").alias("n"))
     schema = "kind string, token string, dotted boolean, key string"
-    left = counted.select("kind", "token", "dotted").mapInPandas(_keys(False), schema)
-    right = words.select("kind", F.col("word").alias("token"), F.lit(False).alias("dotted")).mapInPandas(_keys(True), schema).select("kind", "key", F.col("token").alias("word"))
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    left = counted.select("kind", "token", "dotted").mapInPandas(_keys(False, longest), schema)
+    right = words.select("kind", F.col("word").alias("token"), F.lit(False).alias("dotted")).mapInPandas(_keys(True, longest), schema).select("kind", "key", F.col("token").alias("word"))
     pairs = left.join(right, ["kind", "key"]).select("kind", "token", "dotted", "word").distinct()
     repaired = pairs.mapInPandas(_verify, "kind string, token string, dotted boolean, word string, sim double").join(words, ["kind", "word"])
     dictionary = cut(
@@ -155,9 +159,11 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     hits = (
         known.select("kind", "value", "pos", "own", F.explode("words").alias("x")).select("kind", "value", "pos", "own", "x.*")
         .join(listed.select("kind", "word", entry_key), ["kind", "word"])
-        .groupBy("kind", "value", "entry", "pos", "own").agg(F.max(F.struct("sim", "w")).alias("m"))
+        .groupBy("kind", "value", "entry", "pos", "own").agg(F.max(F.struct("sim", "w", "word")).alias("m"))
+        # a word of an entry stands for one token only, however often a value repeats it
+        .groupBy("kind", "value", "entry", "m.word", "m.w", "own").agg(F.max("m.sim").alias("sim"))
         .groupBy("kind", "value", "entry")
-        .agg(F.sum(F.col("m.sim") * F.col("m.w") * F.col("m.w")).alias("dot"), F.sum(F.col("m.w") * F.col("m.w") - F.col("own")).alias("shift"))
+        .agg(F.sum(F.col("sim") * F.col("w") * F.col("w")).alias("dot"), F.sum(F.col("w") * F.col("w") - F.col("own")).alias("shift"))
     )
     scored = hits.join(weight, ["kind", "value"]).join(norms, ["kind", "entry"]).select("kind", "value", "ref_id", F.round(F.col("dot") / F.sqrt(F.col("own_total") + F.col("shift")) / F.col("norm"), 9).alias("score"))
     best = scored.filter(F.col("score") >= THRESHOLD).groupBy("kind", "value").agg(F.min(F.struct((-F.col("score")).alias("minus"), "ref_id")).alias("b"))
@@ -179,7 +185,7 @@ def entries_of(spark: SparkSession, folder: str) -> DataFrame:
 
 def map_records(records: DataFrame, entries: DataFrame) -> DataFrame:
     """(record_id, kind, value, ref_id, score) of each distinct record (record_id, kind, value); null or blank values have no row."""
-    keyed = records.filter((F.btrim(F.col("value"), F.lit(BLANKS)) != "") & F.col("record_id").isNotNull()).withColumn("key", F.concat_ws("\u0001", "kind", "value"))
+    keyed = records.select("record_id", "kind", "value").filter((F.btrim(F.col("value"), F.lit(BLANKS)) != "") & F.col("record_id").isNotNull()).withColumn("key", F.concat_ws("\u0001", "kind", "value"))
     values = cut(keyed.groupBy("kind", "value").agg(F.count("*").alias("n")))
     mapped = cut(map_values(values, entries).select(F.concat_ws("\u0001", "kind", "value").alias("key"), "ref_id", "score", "n"))
     return spread_lookup(keyed, mapped, "key", "n", "record_id").drop("key").distinct()

@@ -258,7 +258,11 @@ def search(documents: DataFrame, items: DataFrame) -> DataFrame:
         unspaced = [(i, t) for i, t, lang in block if lang.lower()[:2] in UNSPACED]
         spaced = [(i, t) for i, t, lang in block if lang.lower()[:2] not in UNSPACED]
         indexes = [Index(part, kind, kept) for part, kind in ((spaced, True), (unspaced, False)) if part]
-        out.append(documents.filter("text is not null and text <> ''").select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_search(indexes), RESULT))
+        if not indexes:
+            continue
+        out.append(documents.filter("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_search(indexes), RESULT))
+    if not out:
+        return documents.sparkSession.createDataFrame([], RESULT)
     best = reduce(DataFrame.unionByName, out).groupBy("item_id", "doc_id").agg(F.max(F.struct(*RESULT.names[2:])).alias("best"))
     return best.select("item_id", "doc_id", "best.*")
 

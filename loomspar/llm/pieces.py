@@ -83,7 +83,7 @@ def split_oversized(values: DataFrame, keys: list[str], value: str) -> DataFrame
     start, end = core(F.col(value))
     overlap = F.greatest(F.lit(0), F.least(F.coalesce("overlap", F.lit(0)), ((F.col("max_size") - 1) / 2).cast("int")))
     large = (
-        values.filter(F.length(value) > F.col("max_size"))
+        values.select(*keys, value, "max_size", "overlap").filter(F.length(value) > F.col("max_size"))
         .withColumns({"core_start": start, "core_end": end})
         .filter("core_end - core_start > max_size and max_size > 0")
         .withColumns({"overlap": overlap, "core_length": F.col("core_end") - F.col("core_start")})

@@ -38,6 +38,8 @@ RARE = 1e-5
 #: A starter follows an abbreviation inside a sentence with this chance.
 NOISE = 0.05
 _FLUSH = 200_000
+#: Open quotations and brackets that a closing mark looks back over.
+_DEPTH = 50
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’\-][\p{L}\p{M}\p{N}]+)*")
 _NUMBER = regex.compile(r"[\p{N}][\p{N}.,:\-]*")
@@ -133,8 +135,9 @@ def pairs(events: list[tuple[int, int, str]]) -> dict[int, int]:
     """Offsets of matching quotation marks and brackets: opening -> closing."""
     found, stack = {}, []
     for at, _, mark in events:
+        deepest = max(-1, len(stack) - 1 - _DEPTH)
         if mark == '"':
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, deepest, -1):
                 if stack[k][1] == '"':
                     found[stack[k][0]] = at
                     del stack[k:]
@@ -142,7 +145,7 @@ def pairs(events: list[tuple[int, int, str]]) -> dict[int, int]:
             else:
                 stack.append((at, '"'))
             continue
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, deepest, -1):
             if mark in _OPEN.get(stack[k][1], ""):
                 found[stack[k][0]] = at
                 del stack[k:]
@@ -356,7 +359,7 @@ def _cuts(text: str, start: int, end: int, events: list[tuple[int, int, str]], l
             continue
         quoted_from = None
         if at in closing:
-            if at < inside_until or last_mark is None or text[last_mark[1] : at].strip("   '’" + _CLOSERS):
+            if at < inside_until or last_mark is None or at - last_mark[1] > 20 or text[last_mark[1] : at].strip("   '’" + _CLOSERS):
                 continue
             quoted_from, (m_at, m_stop, mark) = closing[at], last_mark
             after = stop
