@@ -215,14 +215,14 @@ def _match(ids: list[int], texts: list[str], indexes: list[Index], kept: np.ndar
         codes, starts = reduce_texts(texts, kept, index.spaced)
         best: dict[tuple[int, int], tuple] = {}
         hits = index.candidates(codes, starts)
-        extra = [(d, n, None, 0, len(index.codes[n])) for n in index.short for d in range(len(ids)) if len(index.codes[n])]
-        for d, n, low, first, last in [*map(tuple, hits.tolist()), *extra]:
+        for d, n in _contained(codes, starts, index):
+            best[d, n] = (index.needed[n], len(index.codes[n]), len(index.codes[n]), 0)
+        for d, n, low, first, last in hits.tolist():
             doc, item = codes[starts[d] : starts[d + 1] - 1], index.codes[n]
-            diagonals = range(low, low + 2 * EDITS + 2) if low is not None else range(len(doc) - len(item) + 1)
-            units, chars = max((longest_run(item, index.words[n], doc, k, index.spaced) for k in diagonals), default=(0, 0))
-            if low is None and units < index.needed[n]:
-                continue
-            edits, aligned = banded_edits(item[first:last], doc[max(0, first + low - EDITS) : last + low + 3 * EDITS + 3], min(EDITS, first + low), min(EDITS, first + low) + 2 * EDITS + 1) if low is not None else (0, chars)
+            units, chars = max(longest_run(item, index.words[n], doc, k, index.spaced) for k in range(low, low + 2 * EDITS + 2))
+            begin = max(0, first + low - EDITS)  # the region of the document, with room for edits at both ends
+            shift = first + low - begin
+            edits, aligned = banded_edits(item[first:last], doc[begin : last + low + 3 * EDITS + 3], shift, shift + 2 * EDITS + 1)
             row = (units, chars, aligned, edits)
             if row > best.get((d, n), ()):
                 best[d, n] = row
@@ -231,6 +231,24 @@ def _match(ids: list[int], texts: list[str], indexes: list[Index], kept: np.ndar
     return rows
 
 
+def _contained(codes: np.ndarray, starts: np.ndarray, index: Index) -> Iterator[tuple[int, int]]:
+    """(document, item) of the items shorter than a q-gram, which the filter can't see: found as whole words."""
+    if not index.short:
+        return
+    text = codes.tobytes().decode("utf-32-le", "surrogatepass")
+    edge = " \0" if index.spaced else None
+    for n in index.short:
+        item = index.codes[n].tobytes().decode("utf-32-le", "surrogatepass")
+        at, seen = text.find(item), -1
+        while at >= 0:
+            d = int(np.searchsorted(starts, at, "right")) - 1
+            end = at + len(item)
+            if d != seen and (edge is None or ((at == 0 or text[at - 1] in edge) and text[end : end + 1] in edge)):
+                yield d, n
+                seen = d
+            at = text.find(item, at + 1)
+
+
 def blocks(items: list[tuple[int, str, str]]) -> list[list[tuple[int, str, str]]]:
     out, size = [[]], 0
     for item in items:

@@ -208,11 +208,8 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
     rest = rest.withColumn("bucket", bucket)
     counted = rest.groupBy("length", "bucket").agg(F.count("*").alias("n"))  # at most capacity * BUCKETS rows
-    rows = counted.collect()
-    histogram: dict[int, int] = {}
-    for r in rows:
-        if r["length"]:
-            histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
+    totals = counted.groupBy("length").agg(F.sum("n").alias("n")).filter("length > 0").collect()  # at most capacity rows
+    histogram = {r["length"]: r["n"] for r in totals}
     plan = solve(histogram, capacity)
     before = counted.select("length", "bucket", F.coalesce(F.sum("n").over(_earlier("length", "bucket")), F.lit(0)).alias("before"))
     ranked = rest.withColumn("within", F.row_number().over(_order(["length", "bucket"], "doc_id"))).join(F.broadcast(before), ["length", "bucket"])

@@ -113,13 +113,12 @@ def limited_values(spark: SparkSession, folder: str) -> DataFrame:
     """text and essay_content of in_plain_text as rows with the limit of their kind (``*``: kinds without one, and null)."""
     limits = table(spark, folder, "size_limits").filter("unit = 'characters'").groupBy("used_for").agg(F.min("max_size").alias("max_size"), F.min("overlap").alias("overlap"))
     named = limits.filter("used_for <> '*'").withColumnRenamed("used_for", "kind")
-    rest = limits.filter("used_for = '*'").select(F.col("max_size").alias("max_rest"), F.col("overlap").alias("overlap_rest"))
+    rest = limits.filter("used_for = '*'")
     fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("text", "essay_content")))
     values = table(spark, folder, "in_plain_text").select("id", "kind", F.explode(fields).alias("f")).select("id", "kind", "f.field", "f.value").filter("value is not null")
     return (
         values.join(named, "kind", "left")  # a handful of kinds: the planner sees their size and broadcasts them
-        .join(rest, F.lit(True), "left")
-        .select("id", "field", "value", F.coalesce("max_size", "max_rest").alias("max_size"), F.coalesce("overlap", "overlap_rest").alias("overlap"))
+        .select("id", "field", "value", F.coalesce("max_size", rest.agg(F.min("max_size")).scalar()).alias("max_size"), F.coalesce("overlap", rest.agg(F.min("overlap")).scalar()).alias("overlap"))
         .filter("max_size is not null")
     )
 
