@@ -25,8 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     It is read from the session. Only where it is unset (tests on one machine) a local folder is set.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            context.setCheckpointDir(folder)
         return folder
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local[") and context.master != "local":
