@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspar.runtime import cut
+
 # Judgements, and which of them count in each mode.
 JUDGEMENTS = ("Equivalent", "Narrower", "Broader", "Unrelated")
 MODES = {"exact": ("Equivalent",), "compat": ("Equivalent", "Narrower"), "gen": ("Equivalent", "Narrower", "Broader")}
@@ -71,7 +73,7 @@ def precision_recall(pairs: DataFrame) -> DataFrame:
     """
     each = pairs.groupBy("score").agg(F.sum("positive").alias("p"), F.count("*").alias("n"))
     # ranges of falling scores; a running sum within each, and what all higher ranges have in all
-    spread = each.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id())
+    spread = cut(each.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()))  # written once: ranges must not change between its uses
     totals = spread.groupBy("part").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     before = totals.select("part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))
