@@ -62,4 +62,5 @@ def test_leaks_brute_force(spark, data):
 
 def test_every_entry_runs(spark, data):
     for name, query in registry.QUERIES.items():
-        assert query(spark, data).count() >= 0, name
+        if name not in registry.ORACLE_SQL and name != "p7_found":
+            assert query(spark, data).count() > 0, name
