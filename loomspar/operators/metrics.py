@@ -78,8 +78,7 @@ def precision_recall(pairs: DataFrame) -> DataFrame:
     above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     before = totals.select("part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))
     own = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    positives = pairs.agg(F.sum("positive").alias("all"))
-    run = spread.withColumns({"tp": F.sum("p").over(own), "seen": F.sum("n").over(own)}).join(F.broadcast(before), "part").join(F.broadcast(positives))
+    run = spread.withColumns({"tp": F.sum("p").over(own), "seen": F.sum("n").over(own), "all": spread.agg(F.sum("p")).scalar()}).join(F.broadcast(before), "part")
     tp, seen = F.col("tp") + F.col("p0"), F.col("seen") + F.col("n0")
     return run.select("score", "p", seen.alias("n"), tp.alias("tp"), (tp / seen).alias("precision"), F.when(F.col("all") > 0, tp / F.col("all")).alias("recall"), "all")
 
@@ -96,8 +95,8 @@ def judge_statistics(judgements: DataFrame) -> DataFrame:
     # ranks among distinct confidences with their counts: no list of all values is gathered
     each = judgements.filter("confidence is not null").groupBy("confidence").agg(F.count("*").alias("k"))
     upto = each.withColumn("upto", F.sum("k").over(Window.orderBy("confidence").rowsBetween(Window.unboundedPreceding, 0)))  # distinct rounded confidences
-    total = each.agg(F.sum("k").alias("n"))
-    at = upto.join(F.broadcast(total)).select("confidence", "upto", F.floor(F.col("n") / 2).alias("middle"), F.floor(0.9 * (F.col("n") - 1)).alias("ninth"))
+    total = each.agg(F.sum("k")).scalar()
+    at = upto.select("confidence", "upto", F.floor(total / 2).alias("middle"), F.floor(0.9 * (total - 1)).alias("ninth"))
     picked = at.agg(F.min("confidence").alias("confidence_min"), F.min(F.when(F.col("upto") > F.col("middle"), F.col("confidence"))).alias("confidence_p50"), F.min(F.when(F.col("upto") > F.col("ninth"), F.col("confidence"))).alias("confidence_p90"), F.max("confidence").alias("confidence_max"))
     return judgements.agg(F.count("*").alias("n"), *shares).join(F.broadcast(picked))
 

@@ -119,8 +119,7 @@ def a35_match_tiers(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {NODES}, {JUDGED} select judgement, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from judged group by judgement")
 def a36_judgement_shares(spark: SparkSession, folder: str) -> DataFrame:
     each = judged(spark, folder).groupBy("judgement").agg(F.count("*").alias("n"))
-    total = each.agg(F.sum("n").alias("all"))
-    return each.join(F.broadcast(total)).select("judgement", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+    return each.select("judgement", "n", F.round(F.col("n") / each.agg(F.sum("n")).scalar(), 6).alias("share"))
 
 
 @query(f"with {NODES}, {JUDGED} select trace_label, arg_min(ref_label, (case judgement when 'Equivalent' then 1 when 'Narrower' then 2 else 3 end, -confidence, ref_label)) as ref_label from judged where usable group by trace_label")

@@ -50,8 +50,7 @@ def j16_concept_members(spark: SparkSession, folder: str) -> DataFrame:
 def o02_largest_classes(spark: SparkSession, folder: str) -> DataFrame:
     """The ten largest classes and their share: a top-k report."""
     each = current_nodes(spark, folder).groupBy(F.coalesce(F.nullif(T.safe_text("class_label"), F.lit("")), F.lit(records.UNSET)).alias("label")).agg(F.count("*").alias("n"))
-    total = each.agg(F.sum("n").alias("all"))
-    return each.join(F.broadcast(total)).select("label", "n", F.round(F.col("n") / F.col("all"), 6).alias("share")).orderBy(F.desc("n"), "label").limit(10)
+    return each.select("label", "n", F.round(F.col("n") / each.agg(F.sum("n")).scalar(), 6).alias("share")).orderBy(F.desc("n"), "label").limit(10)
 
 
 @query(f"""with {NODES}, {JUDGED}, a as (select ref_label, weight, coalesce(covered_compat, 0) as covered from weights left join anchors using (ref_label)) select ref_label, weight, covered from a order by covered, weight desc, ref_label limit 10""")
