@@ -118,7 +118,7 @@ def tokens(value: Column) -> Column:
     spaced = F.regexp_replace(F.regexp_replace(value, r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})", " "), r"^[\s\p{Z}\"'(\[]*\p{Nd}{1,3}[.)][\s\p{Z}]+", "")
     found = F.regexp_extract_all(F.lower(spaced), F.lit(r"[\p{L}\p{M}\p{N}]+\.?"), F.lit(0))
     led = (F.size(found) > 1) & F.rtrim(F.get(found, F.lit(0)), F.lit(".")).isin(*AUXILIARIES)
-    return F.when(led, F.slice(found, 2, 1000)).otherwise(found)
+    return F.when(led, F.slice(found, F.lit(2), F.size(found))).otherwise(found)
 
 
 def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
