@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from loomspar.plans.base import GRAPHS, NODES, RELS, Registry, current_nodes, cu
 from loomspar.plans.eval_queries import GOLD, JUDGED, STRUCTURE, a21_method_statistics, gold, judged, weights
 from loomspar.plans.record_queries import CHUNKS, safe
 from loomspar.plans.text_queries import BODY, sections
-from loomspar.runtime import table
+from loomspar.runtime import shared_dir, table
+from loomspar.sources import io
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -123,3 +126,37 @@ def w02_running_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {RELS} select canonical_rel_name as name, count(distinct start_id) as starts, count(distinct end_id) as ends, min(seq) as first_seq from rels group by 1")
 def a08_relation_ends(spark: SparkSession, folder: str) -> DataFrame:
     return current_rels(spark, folder).groupBy(F.col("canonical_rel_name").alias("name")).agg(F.countDistinct("start_id").alias("starts"), F.countDistinct("end_id").alias("ends"), F.min("seq").alias("first_seq"))
+
+
+@query(r"""select seq, regexp_extract('Answer: ' || coalesce(qualifiers, '') || ' (end)', '(?s)\{.*\}', 0) as found from kg_rels where contains(coalesce(qualifiers, ''), '{')""")
+def f13_json_object(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON objects inside running text."""
+    text = F.concat(F.lit("Answer: "), F.coalesce("qualifiers", F.lit("")), F.lit(" (end)"))
+    return table(spark, folder, "kg_rels").select("seq", T.json_object_text(text).alias("found")).filter("found is not null")
+
+
+@query("select graph_id, string_agg(x, '|' order by p) as names from (select graph_id, x, min(p) as p from (select graph_id, unnest(edges) as x, generate_subscripts(edges, 1) as p from baseline_kg) group by all) group by graph_id")
+def f16_ordered_unique(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "baseline_kg").filter("size(edges) > 0").select("graph_id", F.array_join(T.ordered_unique("edges"), "|").alias("names"))
+
+
+@query(f"with {RELS} select relation_id, least(start_id, end_id) as first_id, greatest(start_id, end_id) as second_id, start_id > end_id as turned from rels where start_id is not null and end_id is not null")
+def f19_swap_ends(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations in one direction: ends swapped where they stand the other way round."""
+    turned = F.col("start_id") > F.col("end_id")
+    rels = current_rels(spark, folder).filter("start_id is not null and end_id is not null")
+    return rels.select("relation_id", F.when(turned, F.col("end_id")).otherwise(F.col("start_id")).alias("first_id"), F.when(turned, F.col("start_id")).otherwise(F.col("end_id")).alias("second_id"), turned.alias("turned"))
+
+
+@query("select seq, printf('%.1f%%', try_cast(trim(confidence) as double) * 100) as share from kg_rels where try_cast(trim(confidence) as double) is not null")
+def f23_percent(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "kg_rels").withColumn("c", T.to_double("confidence")).filter("c is not null").select("seq", T.percent("c").alias("share"))
+
+
+@query(f"""with {NODES} select entity_id, coalesce(entity_name, '') as entity_name, coalesce(entity_description, '') as entity_description, replace(coalesce(node_properties, ''), '"', chr(39)) as node_properties from nodes""")
+def s13_graph_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The graph written as CSV files and read again."""
+    place = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    io.write_graph(current_nodes(spark, folder), current_rels(spark, folder), place)
+    nodes, _ = io.read_graph(spark, place)
+    return nodes.select("entity_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("entity_name", "entity_description", "node_properties")))
