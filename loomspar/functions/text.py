@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,16 +155,24 @@ def percent(value: Column | str, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", col(value).cast("double") * 100)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: an expression that a lambda mentions is computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ngrams(text: Column | str, n: int) -> Column:
     """Distinct n-grams of the lower-case words."""
-    w = words(F.lower(F.coalesce(col(text), F.lit(""))))
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+        return F.when(F.size(w) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return bound(words(F.lower(F.coalesce(col(text), F.lit("")))), of)
 
 
 def ngram_overlap(text: Column | str, other: Column | str, n: int = 4) -> Column:
     """The share of the text's n-grams that occur in the other text; 0 without n-grams."""
-    own = ngrams(text, n)
-    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, ngrams(other, n))) / F.size(own))
+    return bound(ngrams(text, n), lambda own: F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, ngrams(other, n))) / F.size(own)))
 
 
 def contains_fact(context: Column | str, fact: Column | str) -> Column:
