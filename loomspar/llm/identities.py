@@ -1,7 +1,7 @@
 """Variant spellings of names typed by people (problem 3).
 
 Method: merge-and-rematch resolution. Equal records collapse to one profile. Profiles meet in blocks (deletion
-variants of the distinctive words of their names; year and place), are compared, and matching ones merge: the merged
+variants of the words of their names, common ones in pairs or with an initial; year and place), are compared, and matching ones merge: the merged
 profile has the spellings, initials and attributes of both and enters blocking again, until no further merge occurs.
 A profile only merges into one that has every kind of attribute it has itself, so profiles that contradict each other
 can't be joined by a poorer one between them; what is left is merged pairwise, best partners first.
@@ -46,7 +46,8 @@ NICKNAMES = {
 }
 _GIVEN = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()}
 
-#: A word beside which so many different words stand is common (a given name, a branch) and makes no block alone.
+#: A key beside which so many different words stand is common (a given name, a branch) and makes blocks only together with
+#: another element of the name. It bounds the size of blocks, not what can meet: both sides share the key and its refinement.
 COMMON_PARTNERS = 40
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 _DOTTED = regex.compile(r"\b(?:\p{L}\.){2,}")
@@ -162,32 +163,53 @@ def _variants(words: pd.Series) -> pd.Series:
     return words.map(lambda w: sorted(canon.variants(w, 1)) if len(w) <= 64 else [w[:20], w[len(w) // 2 - 10 : len(w) // 2 + 10], w[-20:]])
 
 
-def block_keys(profiles: DataFrame) -> DataFrame:
-    """(pid, key): deletion variants of the distinctive words, pairs of words where all are common; year with place."""
-    words = profiles.select("kind", "pid", F.explode("words").alias("word")).select("pid", F.concat_ws(":", "kind", "word").alias("word"))
-    attributes = profiles.select("pid", "kind", F.explode("years").alias("year"), "places").select("pid", "kind", "year", F.explode("places").alias("place")).select("pid", F.concat_ws(":", "kind", "year", "place").alias("word"))
+def block_keys(profiles: DataFrame, left: bool) -> DataFrame:
+    """(pid, key): what ``words`` holds, of either side of a comparison; year with the deletion variants of the place.
+
+    A first letter of a word (``f``) meets an initial (``i``), and initials meet each other, but first letters don't.
+    """
+    words = profiles.select("kind", "pid", F.explode("words").alias("word"))
+    rest = F.substring("word", 3, 1 << 20)
+    mine, other = ("L ", "R ") if left else ("R ", "L ")
+    sided = F.when(F.col("word").startswith("f "), F.array(F.concat(F.lit(mine), rest))).when(F.col("word").startswith("i "), F.array(F.concat(F.lit(other), rest), F.col("word"))).otherwise(F.array("word"))
+    words = words.select("pid", "kind", F.explode(sided).alias("word")).select("pid", F.concat_ws(":", "kind", "word").alias("word"))
+    attributes = profiles.filter("size(years) > 0").select("pid", "kind", "years", F.explode("places").alias("place")).select("pid", "kind", "years", F.explode(_variants("place")).alias("v")).select("pid", "kind", F.explode("years").alias("year"), "v")
+    attributes = attributes.select("pid", F.concat_ws(":", "kind", "year", "v").alias("word"))
     return words.unionByName(attributes).select("pid", F.xxhash64("word").alias("key")).distinct()
 
 
 def add_words(profiles: DataFrame) -> DataFrame:
-    """The column ``words``: what a profile is blocked by. A word is common by the number of different words beside it, however many rows it has."""
-    token = profiles.select("pid", "kind", F.explode("names").alias("name")).select("pid", "kind", F.split(F.split_part("name", F.lit("|"), F.lit(1)), " ").alias("all")).filter("all[0] <> ''")
-    each = token.select("pid", "kind", F.explode("all").alias("word"), "all")
-    partners = each.select("kind", "word", F.explode("all").alias("other")).filter("word <> other").distinct().groupBy("kind", "word").agg(F.count("*").alias("partners"))
-    rare = each.join(partners.filter(F.col("partners") < COMMON_PARTNERS), ["kind", "word"], "left_semi").union(
-        each.join(partners, ["kind", "word"], "left_anti")
-    )
-    single = rare.select("pid", "word").distinct().select("pid", F.explode(_variants("word")).alias("word"))
-    # names of common words only: a common word with the variants of another
-    left = each.join(rare.select("pid").distinct(), "pid", "left_anti").select("pid", "word", F.explode(F.array_except("all", F.array("word"))).alias("other")).distinct()
-    double = left.select("pid", F.explode(_variants("word")).alias("v"), "other").select("pid", F.concat_ws(" ", "v", "other").alias("word"))
-    blocked = single.unionByName(double).groupBy("pid").agg(F.sort_array(F.collect_set("word")).alias("words"))
-    return profiles.join(blocked, "pid")
+    """The column ``words``: what a profile is blocked by, ``s`` before a rare key, ``p`` before a pair of common ones, ``f`` and ``i`` before a common one with a first letter or an initial.
+
+    Keys are the deletion variants of the words of a name. One is common by the number of different words beside it,
+    however many rows it has; as this is a property of the key itself, two spellings that share it are blocked alike.
+    Any two matching elements of two names lead to a block: one of their keys alone, or both together.
+    """
+    name = profiles.select("pid", "kind", F.explode("names").alias("name"))
+    full = F.filter(F.split(F.split_part("name", F.lit("|"), F.lit(1)), " "), lambda w: w != "")
+    letters = F.filter(F.split(F.split_part("name", F.lit("|"), F.lit(2)), ""), lambda w: w != "")
+    parsed = name.select("kind", "name").distinct().select("kind", "name", full.alias("all"), letters.alias("initials"))
+    each = parsed.select("kind", "name", "all", "initials", F.posexplode("all").alias("pos", "word"))
+    keyed = cut(each.join(each.select("word").distinct().select("word", _variants("word").alias("variants")), "word").select("kind", "name", "all", "initials", "pos", "word", "variants"))
+    beside = keyed.select("kind", F.explode("variants").alias("v"), "all", "word").select("kind", "v", F.explode("all").alias("other"), "word").filter("other <> word").select("kind", "v", "other").distinct()
+    common = beside.groupBy("kind", "v").agg(F.count("*").alias("partners")).filter(F.col("partners") >= COMMON_PARTNERS).select("kind", "v", F.lit(True).alias("common"))
+    keys = cut(keyed.select("kind", "name", "pos", F.explode("variants").alias("v")).join(common, ["kind", "v"], "left"))
+    single = keys.filter("common is null").select("kind", "name", F.concat(F.lit("s "), "v").alias("word"))
+    usual = keys.filter("common").groupBy("kind", "name", "pos").agg(F.collect_set("v").alias("vs"))
+    both = usual.alias("l").join(usual.alias("r"), F.expr("l.kind = r.kind and l.name = r.name and l.pos < r.pos")).select("l.kind", "l.name", F.explode("l.vs").alias("v"), F.col("r.vs").alias("us")).select("kind", "name", "v", F.explode("us").alias("u"))
+    double = both.select("kind", "name", F.concat_ws(" ", F.lit("p"), F.least("v", "u"), F.greatest("v", "u")).alias("word"))
+    # the other words of the name by position, so that a word that is there twice stands beside itself
+    others = F.transform(F.filter(F.transform("all", lambda w, n: F.struct(n.alias("n"), w.alias("w"))), lambda x: x["n"] != F.col("pos")), lambda x: F.concat(F.lit("f "), F.substring(x["w"], 1, 1)))
+    marks = keyed.select("kind", "name", "pos", F.array_distinct(F.concat(others, F.transform("initials", lambda c: F.concat(F.lit("i "), c)))).alias("marks"))
+    marked = usual.join(marks, ["kind", "name", "pos"]).select("kind", "name", "vs", F.explode("marks").alias("mark")).select("kind", "name", "mark", F.explode("vs").alias("v")).select("kind", "name", F.concat_ws(" ", "mark", "v").alias("word"))
+    words = cut(single.unionByName(double).unionByName(marked).groupBy("kind", "name").agg(F.collect_set("word").alias("ws")))
+    blocked = name.join(words, ["kind", "name"]).groupBy("pid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("words"))
+    return profiles.join(blocked, "pid", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
 def _edges(changed: DataFrame, profiles: DataFrame) -> DataFrame:
     """(a, b, agree, cost) of the matching pairs with a changed profile; a < b."""
-    left, right = block_keys(changed), block_keys(profiles).withColumnRenamed("pid", "other")
+    left, right = block_keys(changed, True), block_keys(profiles, False).withColumnRenamed("pid", "other")
     pairs = left.join(right, "key").filter("pid <> other").select(F.least("pid", "other").alias("a"), F.greatest("pid", "other").alias("b")).distinct()
     fields = ("names", "years", "places", "jobs")
     side = lambda s: profiles.select(F.col("pid").alias(s), F.col("kind").alias(f"k{s}"), *(F.col(f).alias(f"{f}_{s}") for f in fields))

@@ -43,3 +43,16 @@ def test_names_agree():
     assert identities.names_agree(s("William P. Kuguguck"), s("William H. Kuguguck")) is None
     assert identities.names_agree(s("Anna Kuguguck"), s("Benno Kuguguck")) is None
     assert identities.attributes("Born in 1915; worked as bridge designer at Memox.", "person") == (["1915"], ["memox"], ["bridge designer"], [])
+
+
+def test_common_words_with_typos_and_initials(spark):
+    # both words of one person stand beside many others; a typo in one of them is a rare word
+    rows = [(f"g{n}", f"Robert {a}{b}", None) for n, (a, b) in enumerate(zip("Bacar Defin Gilom Hupar Jokan Kelit Lumer Moran Nesti Paluk".split() * 5, "ovest ulmer ikson arden olipt".split() * 10))]
+    rows += [(f"h{n}", f"{a}{b} Niridal", None) for n, (a, b) in enumerate(zip("Ab Ek Ig Ol Ut Ys Br Cl Dr Fr".split() * 5, "uvar ezin omir akel idos".split() * 10))]
+    rows += [("t1", "Robert Niridal", None), ("t2", "Robert Niridel", None), ("t3", "R. Niridal", None), ("t4", "Robart Niridal", None)]
+    found = [g for g in groups(spark, rows) if "t1" in g]
+    assert found and {"t1", "t2", "t3", "t4"} <= set(found[0])
+
+
+def test_no_profile_is_dropped(spark):
+    assert ["u1"] in groups(spark, [("u1", "R. N.", None), ("u2", "Robert Niridal", None)])
