@@ -3,8 +3,8 @@
 Method: curated weighted subject terms are matched in every sentence with one multi-pattern automaton (longest match
 first, so that a term inside a longer one doesn't count). A term weighs by its curated weight and its rarity in the
 corpus; a sentence is about a subject if the weights of its terms reach SENTENCE; a document's score is the share of
-such sentences, which normalises by length. Subjects whose score reaches the subject's threshold are assigned. The
-threshold is a third, moved within CALIBRATION only where labels show that the counted shares are biased.
+such sentences, which normalises by length. Subjects whose score reaches a third are assigned, at every size of the input:
+that share is part of the question, and hand labels (partly wrong, incomplete for second subjects) don't move it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspar.llm import canon, sentences
+from loomspar.llm import sentences
 from loomspar.runtime import cut, table
 
 #: The curated terms: subject, language, weight, terms (by |). Another file can be given as a parameter.
@@ -27,8 +27,6 @@ SENTENCE, SHARE = 0.1, 1.0 / 3.0
 #: Least rarity: a term of full weight decides a sentence even if copies of one document fill much of the corpus;
 #: terms of low weight need rarity or company.
 COMMON = 0.2
-#: Thresholds that calibration may choose, at most so many labels it looks at, and the gain in F1 that moves a threshold.
-CALIBRATION, LABELS, GAIN = (0.25, 0.28, 0.31, SHARE, 0.36, 0.40), 20_000, 0.02
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _ENDINGS = regex.compile(r"(?:s|es|n|en|e|ns|\p{Cyrillic}{1,2})?(?![\p{L}\p{N}])")
 _PREFIX = frozenset("وفبلك")  # Arabic particles written together with the next word
@@ -116,22 +114,6 @@ def subject_shares(documents: DataFrame, terms: list[tuple[str, str, float]], mo
     return about.groupBy("doc_id", "subject").agg(F.count("*").alias("k")).join(length, "doc_id").select("doc_id", "subject", (F.col("k") / F.col("sentences")).alias("share"))
 
 
-def thresholds(shares: DataFrame, labels: DataFrame) -> dict[str, float]:
-    """The threshold of each subject. labels: doc_id, subject (codes); at most LABELS of them, the smallest hashes, are looked at."""
-    sample = labels.distinct().orderBy(F.xxhash64("doc_id", "subject")).limit(LABELS)
-    docs = sample.select("doc_id").distinct()
-    seen = shares.join(docs, "doc_id", "left_semi").join(sample.withColumn("labelled", F.lit(1)), ["doc_id", "subject"], "full")
-    each = [F.sum(F.when(F.col("share") >= t, F.coalesce("labelled", F.lit(0))).otherwise(0)).alias(f"hit{n}") for n, t in enumerate(CALIBRATION)]
-    each += [F.sum(F.when(F.col("share") >= t, 1).otherwise(0)).alias(f"all{n}") for n, t in enumerate(CALIBRATION)]
-    out = {}
-    for r in seen.groupBy("subject").agg(F.count("labelled").alias("labelled"), *each).collect():  # a row for each subject
-        f1 = [2 * r[f"hit{n}"] / max(1, r[f"all{n}"] + r["labelled"]) for n in range(len(CALIBRATION))]
-        usual = f1[CALIBRATION.index(SHARE)]
-        best = max(range(len(CALIBRATION)), key=lambda n: (f1[n], -abs(CALIBRATION[n] - SHARE)))
-        out[r["subject"]] = CALIBRATION[best] if r["labelled"] >= 200 and f1[best] > usual + GAIN else SHARE
-    return out
-
-
 def assign(shares: DataFrame, limits: dict[str, float]) -> DataFrame:
     limit = F.lit(SHARE)
     for subject, t in limits.items():
@@ -139,16 +121,8 @@ def assign(shares: DataFrame, limits: dict[str, float]) -> DataFrame:
     return shares.filter(F.col("share") >= limit - 1e-9).select("doc_id", "subject")
 
 
-def coded_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, subject) of the hand labels, their uneven spellings mapped to the codes of the subject list."""
-    labels = table(spark, folder, "subject_labels").filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("record_id"), F.lit("subject").alias("kind"), F.col("subject").alias("value"))
-    listed = table(spark, folder, "subjects")
-    entries = listed.select(F.lit("subject").alias("kind"), F.col("subject").alias("ref_id"), F.explode(F.array("subject", "title")).alias("name"))
-    return canon.map_records(labels, entries).filter(F.col("ref_id") != canon.NONE).select(F.col("record_id").cast("long").alias("doc_id"), F.col("ref_id").alias("subject")).distinct()
-
-
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """p8_found: the subjects of all documents."""
     codes = table(spark, folder, "subjects").select("subject").distinct()
     shares = cut(subject_shares(table(spark, folder, "documents"), load_terms()).join(F.broadcast(codes), "subject", "left_semi"))
-    return assign(shares, thresholds(shares, coded_labels(spark, folder)))
+    return assign(shares, {})

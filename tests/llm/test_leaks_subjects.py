@@ -52,3 +52,13 @@ def test_no_documents(spark):
 def test_terms():
     terms = subjects.load_terms()
     assert len({t for t, _, _ in terms}) > 400 and {s for _, s, _ in terms} == {"science", "law", "sport", "software", "medicine", "finance", "engineering", "music"}
+
+
+def test_labels_do_not_move_the_third(spark, tmp_path):
+    law, other = "The jury met the judge in court!", "Nobody came!"
+    texts = [f"{law} {law} {other} {other} {other}"] * 300 + [f"{law} {other} {other} {other}"] * 300  # two fifths, a quarter
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save(list(enumerate(texts)), "doc_id bigint, text string", "documents")
+    save([("law", "Law", "")], "subject string, title string, scope_note string", "subjects")
+    save([(n, "law", "x") for n in range(600)], "doc_id bigint, subject string, annotator string", "subject_labels")
+    assert {r["doc_id"] for r in subjects.found(spark, str(tmp_path)).collect()} == set(range(300))
