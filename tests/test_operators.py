@@ -168,6 +168,15 @@ def test_large_groups_are_halved(spark):
     assert max(r["count"] for r in parts) <= 50 and sum(r["count"] for r in parts) == 190
 
 
+def test_size_does_not_change_clusters(spark):
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(c, 0.3, (60, 3)) for c in ((0, 0, 0), (4, 0, 0), (0, 4, 0))] + [np.round(rng.normal(0, 2, (60, 3)))])  # the last ones have equal distances
+    data = [(g, n, [float(x) for x in v]) for g in (0, None) for n, v in enumerate(points)] + [(1, 500 + n, [float(n % 3)]) for n in range(20)]
+    rows = spark.createDataFrame(data, "g int, id bigint, embedding array<double>")
+    whole, blocks = ({(r["g"], r["id"]): r["cluster"] for r in cluster.cluster(rows, "g", 3, limit).collect()} for limit in (5000, 30))
+    assert len(whole) == len(data) and whole == blocks
+
+
 def test_search_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(300, 8))
