@@ -1,16 +1,16 @@
 """Splitting oversized items at natural boundaries (problem 4).
 
-Method: every oversized value is cut into ranges with halos, so that one giant value is worked on by many tasks.
-Workers find boundaries (paragraph, sentence, word) in their range; the table of range lengths is prefix-summed to
-stitch positions; pieces are emitted by offset. Cut k of a value lies in the window ((k + 1) * step - slack,
-(k + 1) * step], at the last boundary of the best kind there. So each cut depends on its own window alone, no value
-is folded over from its start, and no piece exceeds step + slack + overlap characters = the limit.
+Method: every oversized value is cut into ranges with halos, so that one giant value is searched by many tasks. Workers
+find the boundaries (paragraph, sentence, word) of their range; the boundary table of a value is then walked by offsets
+alone, without its text: each piece ends at the last boundary of the best kind in its whole span, which reaches from the
+cut before it to its limit, and at the limit only where the span has no boundary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from loomspar.runtime import table
 
-#: Characters of a range that one row holds; its halo is one window on either side.
-RANGE = 1 << 16
-#: The part of a step in which a natural boundary is looked for before the text is cut anywhere.
-SLACK = 0.35
+#: Characters of a range that one row holds, and of its halo on either side.
+RANGE, HALO = 1 << 16, 1 << 12
 #: White space as str.strip() knows it.
 BLANKS = "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
 FENCE = "```"
@@ -41,34 +39,51 @@ def core(value: Column) -> tuple[Column, Column]:
     return start, start + F.length(right)
 
 
-def best_cut(text: str, low: int, high: int) -> tuple[int, str]:
-    """The offset in (low, high] of text after which to cut, and its kind; text has one character more than high at least."""
-    for kind, pattern in (("paragraph", _PARAGRAPH), ("sentence", _SENTENCE), ("word", _WORD)):
-        last = None
-        for match in pattern.finditer(text, max(0, low - 200), min(len(text), high + 1)):
-            at = match.end()
-            if low < at <= high:
-                last = at
-        if last is not None:
-            return last, kind
-    return high, "none"
+KINDS = ("paragraph", "sentence", "word")
+
+
+def _boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Boundary table: the offsets in a range after which a value may be cut, by kind; 4 * offset + number of the kind."""
+    for frame in batches:
+        rows = []
+        for key, low, halo_from, chunk in zip(frame["key"], frame["range_from"], frame["halo_from"], frame["chunk"], strict=True):
+            found = {}
+            for number, pattern in reversed([*enumerate((_PARAGRAPH, _SENTENCE, _WORD))]):
+                for match in pattern.finditer(chunk):
+                    at = match.end() + halo_from
+                    if low < at <= low + RANGE:
+                        found[at] = number
+            rows.append((key, sorted(4 * at + number for at, number in found.items())))
+        yield pd.DataFrame(rows, columns=["key", "at"])
+
+
+def choose_cuts(at: np.ndarray, length: int, size: int, overlap: int) -> list[tuple[int, str]]:
+    """(end, boundary) of the consecutive pieces of a value; at: its boundaries as ``_boundaries`` writes them, in order."""
+    offsets, numbers = at >> 2, at & 3
+    by_kind = [offsets[numbers <= n] for n in range(len(KINDS))]
+    out, end = [], 0
+    while True:
+        limit = (end - overlap if out else 0) + size
+        if limit >= length:
+            return [*out, (length, "end")]
+        for kind, places in zip(KINDS, by_kind, strict=True):
+            k = np.searchsorted(places, limit, "right") - 1
+            if k >= 0 and places[k] > max(end, overlap):
+                end = int(places[k])
+                out.append((end, kind))
+                break
+        else:
+            end = limit
+            out.append((end, "none"))
 
 
 def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Boundary table: for each window that ends in a range, the best cut in it."""
     for frame in batches:
         rows = []
-        for key, length, low, halo_from, chunk, step, slack in zip(
-            frame["key"], frame["core_length"], frame["range_from"], frame["halo_from"], frame["chunk"], frame["step"], frame["slack"], strict=True
-        ):
-            first = low // step  # window k ends at (k + 1) * step
-            for k in range(first, (min(low + RANGE, length) - 1) // step + 1):
-                end = (k + 1) * step
-                if not low <= end - 1 < low + RANGE or end >= length:
-                    continue
-                at, kind = best_cut(chunk, end - slack - halo_from, end - halo_from)
-                rows.append((key, k, at + halo_from, kind))
-        yield pd.DataFrame(rows, columns=["key", "cut_no", "cut_at", "boundary"]).astype({"cut_no": "int64", "cut_at": "int64"})
+        for key, at, length, size, overlap in zip(frame["key"], frame["at"], frame["core_length"], frame["max_size"], frame["overlap"], strict=True):
+            merged = np.sort(np.concatenate([np.asarray(x, np.int64) for x in at])) if len(at) else np.zeros(0, np.int64)
+            rows.append((key, [{"cut_at": e, "boundary": b} for e, b in choose_cuts(merged, length, size, overlap)]))
+        yield pd.DataFrame(rows, columns=["key", "cuts"])
 
 
 def split_oversized(values: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -87,20 +102,18 @@ def split_oversized(values: DataFrame, keys: list[str], value: str) -> DataFrame
         .withColumns({"core_start": start, "core_end": end})
         .filter("core_end - core_start > max_size and max_size > 0")
         .withColumns({"overlap": overlap, "core_length": F.col("core_end") - F.col("core_start")})
-        .withColumn("step", F.ceil((F.col("max_size") - F.col("overlap")) / F.lit(1 + SLACK)).cast("int"))
-        .withColumn("step", F.greatest(F.col("step"), F.least(F.col("overlap") + 1, F.col("max_size") - F.col("overlap"))))
-        .withColumn("slack", F.least(F.col("max_size") - F.col("overlap") - F.col("step"), F.col("step") - F.col("overlap") - 1))
         .withColumn("key", F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys), F.col(value)), 256))
         .dropDuplicates(["key"])
     )
-    halo = F.greatest(F.col("range_from") - F.col("step"), F.lit(0))
+    halo = F.greatest(F.col("range_from") - HALO, F.lit(0))
     ranges = large.withColumn("range_from", F.explode(F.sequence(F.lit(0), F.col("core_length") - 1, F.lit(RANGE)))).select(
-        "key", "core_length", "range_from", "step", "slack", halo.alias("halo_from"),
-        F.substring(F.col(value), F.col("core_start") + halo + 1, F.col("range_from") - halo + RANGE + F.col("step")).alias("chunk"),
+        "key", "range_from", halo.alias("halo_from"),
+        F.substring(F.col(value), F.col("core_start") + halo + 1, F.least(F.col("range_from") + RANGE + HALO, F.col("core_length")) - halo).alias("chunk"),
     )
-    cuts = ranges.mapInPandas(_cuts, "key string, cut_no bigint, cut_at bigint, boundary string")
-    table_of_cuts = cuts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cut_at", "boundary"))).alias("cuts"))
-    whole = large.join(table_of_cuts, "key", "left").withColumn("cuts", F.concat(F.coalesce("cuts", F.array().cast("array<struct<cut_at:bigint,boundary:string>>")), F.array(F.struct(F.col("core_length").cast("bigint").alias("cut_at"), F.lit("end").alias("boundary")))))
+    found = ranges.mapInPandas(_boundaries, "key string, at array<bigint>").groupBy("key").agg(F.collect_list("at").alias("at"))
+    spans = found.join(large.select("key", "core_length", "max_size", "overlap"), "key")
+    cuts = spans.select("key", "at", "core_length", "max_size", "overlap").mapInPandas(_cuts, "key string, cuts array<struct<cut_at:bigint,boundary:string>>")
+    whole = large.join(cuts, "key")
     pieces = whole.select(*keys, value, "core_start", "overlap", "cuts", F.posexplode("cuts").alias("piece_no", "to"))
     begin = F.when(F.col("piece_no") == 0, F.lit(0).cast("bigint")).otherwise(F.get("cuts", F.col("piece_no") - 1)["cut_at"] - F.col("overlap"))
     return pieces.select(

@@ -47,3 +47,18 @@ def test_empty_and_odd_limits(spark):
     for size, overlap in ((1, 0), (2, 5), (3, 1), (10, 9)):
         got = cut(spark, ["abc def ghi jkl mno pqr"], size, overlap)
         assert max(len(r["piece"]) for r in got[0]) <= size and got[0][-1]["piece_end"] == 23
+
+
+def test_boundaries_in_the_whole_span(spark, monkeypatch):
+    text = "a" * 20 + " " + "b" * 500 + ". C" + "d" * 98
+    got = cut(spark, [text], 100, 45)[0]
+    check(text, got, 100, 45)
+    assert (got[0]["piece_end"], got[0]["boundary"]) == (100, "none")  # a boundary inside the overlap would not let the next piece advance
+    text = "One. W" + "w" * 29 + " " + "x" * 68 + " end"
+    assert [(r["piece_end"], r["boundary"]) for r in cut(spark, [text], 100, 0)[0]][0] == (5, "sentence")
+    text = "a" * 60 + " " + "b" * 80  # half of the limit is overlap
+    got = cut(spark, [text], 100, 45)[0]
+    check(text, got, 100, 45)
+    assert (got[0]["piece_end"], got[0]["boundary"]) == (61, "word")
+    monkeypatch.setattr(pieces, "RANGE", 64)
+    assert [(r["piece_end"], r["boundary"]) for r in cut(spark, [text], 100, 45)[0]] == [(r["piece_end"], r["boundary"]) for r in got]
