@@ -1,26 +1,29 @@
 """Variant spellings of names typed by people (problem 3).
 
-Method: merge-and-rematch resolution. Equal records collapse to one profile. Profiles meet in blocks (deletion
-variants of the words of their names, common ones in pairs or with an initial; year and place), are compared, and matching ones merge: the merged
-profile has the spellings, initials and attributes of both and enters blocking again, until no further merge occurs.
-A profile only merges into one that has every kind of attribute it has itself, so profiles that contradict each other
-can't be joined by a poorer one between them; what is left is merged pairwise, best partners first.
+Method: merge-and-rematch resolution. Equal records collapse to one profile. Profiles meet in blocks made of a whole name
+up to a few letters (see ``name_keys``), are compared, and matching ones merge: the merged profile has the spellings,
+initials and attributes of both, is in all blocks of its members and, by its united attributes, enters further ones, and
+is compared again, until no further merge occurs. A profile only merges into one that has every kind of attribute it has
+itself, so profiles that contradict each other can't be joined by a poorer one between them; what is left is merged
+pairwise, best partners first.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from itertools import product
+from functools import reduce
+from itertools import combinations, product
 
+import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from loomspar.llm import canon
-from loomspar.runtime import cut, table
+from loomspar.runtime import cut, spread_lookup, table
 
 # Classes of the reference list that are persons or organisations.
 PERSONS = ("Person", "Engineer", "Researcher", "Politician", "Athlete", "Musician")
@@ -46,9 +49,6 @@ NICKNAMES = {
 }
 _GIVEN = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()}
 
-#: A key beside which so many different words stand is common (a given name, a branch) and makes blocks only together with
-#: another element of the name. It bounds the size of blocks, not what can meet: both sides share the key and its refinement.
-COMMON_PARTNERS = 40
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 _DOTTED = regex.compile(r"\b(?:\p{L}\.){2,}")
 _YEAR = regex.compile(r"\b(1[5-9]\d\d|20\d\d)\b")
@@ -103,7 +103,8 @@ def names_agree(a: str, b: str, loose: bool = False) -> int | None:
     loose: one word of each may differ altogether, as an unlisted nickname does.
     """
     (fa, ia), (fb, ib) = ((s.partition("|")[0].split(), list(s.partition("|")[2])) for s in (a, b))
-    fa, fb = list(fa), list(fb)
+    if not fa and not fb:  # nothing but initials
+        return 2 if ia == ib and len(ia) > 1 else None
     matched, cost = 0, 0
     for w in [*fa]:
         if w in fb:
@@ -138,11 +139,15 @@ def near(a: list[str], b: list[str]) -> bool:
     return bool(set(a) & set(b)) or any(canon.edit_distance(x, y, 1) <= 1 for x, y in product(a, b) if len(x) > 4)
 
 
+def _mask(years: list[str], places: list[str], jobs: list[str]) -> int:
+    return (len(years) > 0) + 2 * (len(places) > 0) + 4 * (len(jobs) > 0)
+
+
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for a, b, kind, na, nb, ya, yb, pa, pb, ja, jb in frame.itertuples(index=False):
-            agree = 0
+            agree, cost = 0, None
             for x, y, same in ((ya, yb, lambda x, y: bool(set(x) & set(y))), (pa, pb, near), (ja, jb, near)):
                 if len(x) and len(y):
                     if not same([*x], [*y]):
@@ -152,78 +157,110 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 cost = min((c for x, y in product(na, nb) if (c := names_agree(x, y)) is not None), default=None)
                 if cost is None and agree == 3 and kind == "person":  # year, place and occupation are the same
                     cost = min((c for x, y in product(na, nb) if (c := names_agree(x, y, True)) is not None), default=None)
-                if cost is not None:
-                    rows.append((a, b, agree, cost))
-        yield pd.DataFrame(rows, columns=["a", "b", "agree", "cost"]).astype({"agree": "int32", "cost": "int32"})
+            rows.append((a, b, -1 if cost is None else agree, cost or 0, _mask(ya, pa, ja), _mask(yb, pb, jb)))
+        yield pd.DataFrame(rows, columns=["a", "b", "agree", "cost", "ma", "mb"])
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _variants(words: pd.Series) -> pd.Series:
-    # of a very long word, thirds: one of them is the same after two edits
-    return words.map(lambda w: sorted(canon.variants(w, 1)) if len(w) <= 64 else [w[:20], w[len(w) // 2 - 10 : len(w) // 2 + 10], w[-20:]])
+def word_keys(word: str) -> list[str]:
+    """The word with up to one letter left out; of a very long word, thirds: one of them is the same after two edits."""
+    return sorted(canon.variants(word, 1)) if len(word) <= 64 else [word[:20], word[len(word) // 2 - 10 : len(word) // 2 + 10], word[-20:]]
 
 
-def block_keys(profiles: DataFrame, left: bool) -> DataFrame:
-    """(pid, key): what ``words`` holds, of either side of a comparison; year with the deletion variants of the place.
+#: A block key is made for one side of an abbreviation only (bits): the word written out, or its initial. Two profiles meet
+#: if they have no bit in common, as do profiles with different years.
+WRITTEN, INITIAL, DATED = 1, 2, 4
+#: Names of more full words meet by exact words: an agreement costs four edits or initials at most, so of the words in order
+#: of their hashes two of the first six, or one of the first five, are the same on both sides.
+MANY = 4
 
-    A first letter of a word (``f``) meets an initial (``i``), and initials meet each other, but first letters don't.
-    """
-    words = profiles.select("kind", "pid", F.explode("words").alias("word"))
-    rest = F.substring("word", 3, 1 << 20)
-    mine, other = ("L ", "R ") if left else ("R ", "L ")
-    sided = F.when(F.col("word").startswith("f "), F.array(F.concat(F.lit(mine), rest))).when(F.col("word").startswith("i "), F.array(F.concat(F.lit(other), rest), F.col("word"))).otherwise(F.array("word"))
-    words = words.select("pid", "kind", F.explode(sided).alias("word")).select("pid", F.concat_ws(":", "kind", "word").alias("word"))
-    attributes = profiles.filter("size(years) > 0").select("pid", "kind", "years", F.explode("places").alias("place")).select("pid", "kind", "years", F.explode(_variants("place")).alias("v")).select("pid", "kind", F.explode("years").alias("year"), "v")
-    attributes = attributes.select("pid", F.concat_ws(":", "kind", "year", "v").alias("word"))
-    return words.unionByName(attributes).select("pid", F.xxhash64("word").alias("key")).distinct()
-
-
-def add_words(profiles: DataFrame) -> DataFrame:
-    """The column ``words``: what a profile is blocked by, ``s`` before a rare key, ``p`` before a pair of common ones, ``f`` and ``i`` before a common one with a first letter or an initial.
-
-    Keys are the deletion variants of the words of a name. One is common by the number of different words beside it,
-    however many rows it has; as this is a property of the key itself, two spellings that share it are blocked alike.
-    Any two matching elements of two names lead to a block: one of their keys alone, or both together.
+
+def name_keys(name: str) -> set[tuple[str, int]]:
+    """Block keys of a spelling, each with the bits of its side.
+
+    Any agreement of two names covers all their full words, so a key holds all of them: one as its deletion variants, of
+    the others their first letters, or in names of two words also their last ones. Two spellings share a key unless
+    edits hit the beginnings of two different words. Words that an initial of the other name stands for are left out.
     """
-    name = profiles.select("pid", "kind", F.explode("names").alias("name"))
-    full = F.filter(F.split(F.split_part("name", F.lit("|"), F.lit(1)), " "), lambda w: w != "")
-    letters = F.filter(F.split(F.split_part("name", F.lit("|"), F.lit(2)), ""), lambda w: w != "")
-    parsed = name.select("kind", "name").distinct().select("kind", "name", full.alias("all"), letters.alias("initials"))
-    each = parsed.select("kind", "name", "all", "initials", F.posexplode("all").alias("pos", "word"))
-    keyed = cut(each.join(each.select("word").distinct().select("word", _variants("word").alias("variants")), "word").select("kind", "name", "all", "initials", "pos", "word", "variants"))
-    beside = keyed.select("kind", F.explode("variants").alias("v"), "all", "word").select("kind", "v", F.explode("all").alias("other"), "word").filter("other <> word").select("kind", "v", "other").distinct()
-    common = beside.groupBy("kind", "v").agg(F.count("*").alias("partners")).filter(F.col("partners") >= COMMON_PARTNERS).select("kind", "v", F.lit(True).alias("common"))
-    keys = cut(keyed.select("kind", "name", "pos", F.explode("variants").alias("v")).join(common, ["kind", "v"], "left"))
-    single = keys.filter("common is null").select("kind", "name", F.concat(F.lit("s "), "v").alias("word"))
-    usual = keys.filter("common").groupBy("kind", "name", "pos").agg(F.collect_set("v").alias("vs"))
-    both = usual.alias("l").join(usual.alias("r"), F.expr("l.kind = r.kind and l.name = r.name and l.pos < r.pos")).select("l.kind", "l.name", F.explode("l.vs").alias("v"), F.col("r.vs").alias("us")).select("kind", "name", "v", F.explode("us").alias("u"))
-    double = both.select("kind", "name", F.concat_ws(" ", F.lit("p"), F.least("v", "u"), F.greatest("v", "u")).alias("word"))
-    # the other words of the name by position, so that a word that is there twice stands beside itself
-    others = F.transform(F.filter(F.transform("all", lambda w, n: F.struct(n.alias("n"), w.alias("w"))), lambda x: x["n"] != F.col("pos")), lambda x: F.concat(F.lit("f "), F.substring(x["w"], 1, 1)))
-    marks = keyed.select("kind", "name", "pos", F.array_distinct(F.concat(others, F.transform("initials", lambda c: F.concat(F.lit("i "), c)))).alias("marks"))
-    marked = usual.join(marks, ["kind", "name", "pos"]).select("kind", "name", "vs", F.explode("marks").alias("mark")).select("kind", "name", "mark", F.explode("vs").alias("v")).select("kind", "name", F.concat_ws(" ", "mark", "v").alias("word"))
-    words = cut(single.unionByName(double).unionByName(marked).groupBy("kind", "name").agg(F.collect_set("word").alias("ws")))
-    blocked = name.join(words, ["kind", "name"]).groupBy("pid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("words"))
-    return profiles.join(blocked, "pid", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-
-
-def _edges(changed: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(a, b, agree, cost) of the matching pairs with a changed profile; a < b."""
-    left, right = block_keys(changed, True), block_keys(profiles, False).withColumnRenamed("pid", "other")
-    pairs = left.join(right, "key").filter("pid <> other").select(F.least("pid", "other").alias("a"), F.greatest("pid", "other").alias("b")).distinct()
-    fields = ("names", "years", "places", "jobs")
-    side = lambda s: profiles.select(F.col("pid").alias(s), F.col("kind").alias(f"k{s}"), *(F.col(f).alias(f"{f}_{s}") for f in fields))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter("ka = kb").select("a", "b", "ka", *(f"{f}_{s}" for f in fields for s in "ab"))
-    return both.mapInPandas(_verify, "a string, b string, agree int, cost int")
-
-
-def _merges(edges: DataFrame, profiles: DataFrame) -> DataFrame:
+    left, _, letters = name.partition("|")
+    full, letters = left.split(), sorted(set(letters))
+    out: set[tuple[str, int]] = set()
+    if len(full) > MANY:
+        by_hash = sorted(set(full), key=xxhash.xxh64_intdigest)
+        out |= {(f"w {w}", 0) for w in by_hash[:5]} | {(f"ww {v} {w}", 0) for v, w in combinations(by_hash[:6], 2)}
+        if len(full) > 2 * MANY:
+            out = {k for k in out if k[0].startswith("ww")}
+    if 2 <= len(full) <= 2 * MANY:
+        for n, w in enumerate(full):
+            others = full[:n] + full[n + 1 :]
+            rest = [" ".join(sorted(x[:3] for x in others)), *(["$" + others[0][-3:]] if len(others) == 1 else [])]
+            out |= {(f"{len(full)} {v} {r}", 0) for v in word_keys(w) for r in rest}
+            if len(others) > 1:
+                out.add((f"{len(full)} {w} " + "".join(sorted(x[0] for x in others)), 0))
+    if not full:
+        out.add((f"o {''.join(letters)}", 0))
+    if len(full) <= MANY:
+        for size in range(1, len(full) + 1):
+            for kept in combinations(range(len(full)), size):
+                words = [full[k] for k in kept]
+                first = min((full[k][0] for k in range(len(full)) if k not in kept), default=None)
+                bases = word_keys(words[0]) if size == 1 else [" ".join(words)]
+                for base in bases:
+                    if first:
+                        out.add((f"i{size} {base} {first}", WRITTEN))
+                    out |= {(f"i{size} {base} {c}", INITIAL) for c in letters}
+                    if len(full) == 1:
+                        out |= {(f"ii {base} {c}", 0) for c in letters}
+    return out
+
+
+def attribute_keys(kind: str, names: list[str], years: list[str], places: list[str], jobs: list[str]) -> set[tuple[str, int]]:
+    """Block keys of a word of the name with the year and the place or occupation, where all kinds of attributes are known."""
+    if not len(years) or not len(places) or (kind == "person" and not len(jobs)):
+        return set()
+    words = {v for name in names for w in name.partition("|")[0].split() for v in word_keys(w)}
+    return {(f"a {y} {x} {w}", 0) for y in years for x in (*places, *jobs) for w in words}
+
+
+def _keys(attributes_only: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            pids, keys, sides = [], [], []
+            for pid, kind, names, years, places, jobs in frame.itertuples(index=False):
+                found = attribute_keys(kind, names, years, places, jobs)
+                for key, side in () if attributes_only else set().union(*(name_keys(n) for n in names)):
+                    # dated profiles meet those of the same year, and undated ones
+                    found |= {(f"{key} {y}", side) for y in years}
+                    found.add((f"{key} ?", side | (DATED if len(years) else 0)))
+                pids += [pid] * len(found)
+                keys += [xxhash.xxh64_intdigest(f"{kind[0]} {k}") for k, _ in found]
+                sides += [s for _, s in found]
+            yield pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "pid": np.array(pids, np.int64), "side": np.array(sides, np.int8)})
+
+    return run
+
+
+FIELDS = ("names", "years", "places", "jobs")
+_KEYED = "key bigint, pid bigint, side tinyint"
+_PAIRS = "a bigint, b bigint, agree int, cost int, ma int, mb int"
+
+
+def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pairs (a < b) with what they agree in (-1: they don't match), the cost, and the kinds of attributes either has."""
+    side = lambda s: profiles.select(F.col("pid").alias(s), F.col("kind").alias(f"k{s}"), *(F.col(f).alias(f"{f}_{s}") for f in FIELDS))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", *(f"{f}_{s}" for f in FIELDS for s in "ab"))
+    return both.mapInPandas(_verify, _PAIRS)
+
+
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    met = left.alias("l").join(right.alias("r"), F.expr("l.key = r.key and l.pid <> r.pid and l.side & r.side = 0"))
+    return met.select(F.least("l.pid", "r.pid").alias("a"), F.greatest("l.pid", "r.pid").alias("b")).distinct()
+
+
+def _merges(pairs: DataFrame) -> DataFrame:
     """(pid, into): profiles that merge in this round. No profile is on both sides."""
-    mask = F.when(F.size("years") > 0, 1).otherwise(0) + F.when(F.size("places") > 0, 2).otherwise(0) + F.when(F.size("jobs") > 0, 4).otherwise(0)
-    masks = profiles.select("pid", mask.alias("m"))
-    both = edges.select("a", "b", "agree", "cost").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree", "cost"))
-    both = both.join(masks.select(F.col("pid").alias("a"), F.col("m").alias("ma")), "a").join(masks.select(F.col("pid").alias("b"), F.col("m").alias("mb")), "b")
-    both = cut(both)
+    edges = pairs.filter("agree >= 0")
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree", "cost", F.col("mb").alias("ma"), F.col("ma").alias("mb"))
+    both = edges.unionByName(turned)
     wider = (F.col("ma").bitwiseAND(F.bitwise_not("mb")) == 0) & ((F.col("ma") != F.col("mb")) | (F.col("b") < F.col("a")))
     parent = both.filter(wider).groupBy("a").agg(F.min(F.struct((-F.col("agree")).alias("x"), (-F.bit_count("mb")).alias("y"), "cost", "b")).alias("p")).select(F.col("a").alias("pid"), F.col("p.b").alias("into"))
     stars = cut(parent.join(parent.select(F.col("pid").alias("into")), "into", "left_anti").select("pid", "into"))
@@ -235,24 +272,38 @@ def _merges(edges: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def resolve(profiles: DataFrame) -> DataFrame:
-    """(pid, root) of all profiles, by rounds of matching and merging until nothing merges."""
-    current = cut(add_words(profiles).select("pid", "kind", "names", "words", "years", "places", "jobs"))
-    members = current.select("pid", F.col("pid").alias("root"))
-    edges = cut(_edges(current, current))
+    """(pid, into) of the profiles that merged, by rounds of matching and merging until nothing merges.
+
+    Each round writes three small tables; a candidate pair is kept with its verdict and compared again only when one of
+    its profiles has merged.
+    """
+    current = profiles
+    keys = current.mapInPandas(_keys(False), _KEYED)
+    pairs = cut(_verified(_meet(keys, keys), current))
+    rounds = []
     while True:
-        merges = _merges(edges, current)
+        merges = _merges(pairs)
         if merges.isEmpty():
-            return members
-        step = merges.select(F.col("pid").alias("root"), "into")
-        members = cut(members.join(step, "root", "left").select("pid", F.coalesce("into", "root").alias("root")))
-        moved = current.join(merges, "pid", "left").withColumn("pid", F.coalesce("into", "pid"))
+            break
+        rounds.append(merges)
+        moves = merges.unionByName(merges.select(F.col("into").alias("pid"), "into").distinct())
+        moved = current.join(moves, "pid", "left")
         union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        merged = moved.join(merges.select(F.col("into").alias("pid")).distinct(), "pid", "left_semi").groupBy("pid", "kind").agg(*(union(c) for c in ("names", "words", "years", "places", "jobs")))
-        touched = merges.select("pid").union(merges.select("into")).distinct()
-        merged = cut(merged)
-        current = cut(current.join(touched, "pid", "left_anti").unionByName(merged))
-        kept = edges.join(touched.select(F.col("pid").alias("a")), "a", "left_anti").join(touched.select(F.col("pid").alias("b")), "b", "left_anti")
-        edges = cut(kept.unionByName(_edges(merged, current)))
+        merged = moved.filter("into is not null").groupBy(F.col("into").alias("pid"), "kind").agg(*(union(c) for c in FIELDS)).withColumn("fresh", F.lit(True))
+        current = cut(moved.filter("into is null").select("pid", "kind", *FIELDS, F.lit(False).alias("fresh")).unionByName(merged))
+        stale = pairs.join(moves.select(F.col("pid").alias("a"), F.col("into").alias("a_into")), "a", "left").join(moves.select(F.col("pid").alias("b"), F.col("into").alias("b_into")), "b", "left")
+        again = stale.filter("a_into is not null or b_into is not null").select(F.coalesce("a_into", "a").alias("a"), F.coalesce("b_into", "b").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        content = current.select("pid", "kind", *FIELDS)
+        richer = current.filter("fresh").select("pid", "kind", *FIELDS).mapInPandas(_keys(True), _KEYED)
+        further = _meet(richer, content.mapInPandas(_keys(True), _KEYED))
+        pairs = cut(stale.filter("a_into is null and b_into is null").select("a", "b", "agree", "cost", "ma", "mb").unionByName(_verified(again.unionByName(further).distinct(), content)))
+        current = content
+    if not rounds:
+        return profiles.select("pid", F.col("pid").alias("into")).limit(0)
+    roots = reduce(DataFrame.unionByName, rounds)
+    for _ in range((len(rounds) - 1).bit_length()):  # a profile moves once; follow the moves, twice as far each time
+        roots = roots.join(roots.select(F.col("pid").alias("into"), F.col("into").alias("further")), "into", "left").select("pid", F.coalesce("further", "into").alias("into"))
+    return roots
 
 
 def kinds(nodes: DataFrame, entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,10 +343,11 @@ def link(entities: DataFrame) -> DataFrame:
     """
     rows = entities.filter("kind is not null and entity_id is not null and (name is not null or description is not null)").select("entity_id", F.coalesce("name", F.lit("")).alias("name"), "description", "kind").distinct()
     parsed = rows.mapInPandas(_profiles, "entity_id string, kind string, names array<string>, years array<string>, places array<string>, jobs array<string>")
-    content = F.sha2(F.concat_ws("\u0001", "kind", *(F.concat_ws("\u0002", c) for c in ("names", "years", "places", "jobs"))), 256)
-    parsed = cut(parsed.withColumn("pid", content))
-    profiles = parsed.groupBy("pid", "kind").agg(*(F.first(c).alias(c) for c in ("names", "years", "places", "jobs")))  # equal within a pid
-    return parsed.select("entity_id", "pid").join(resolve(profiles), "pid").select("entity_id", "root").distinct()
+    parsed = cut(parsed.withColumn("pid", F.xxhash64("kind", *FIELDS)))
+    profiles = cut(parsed.groupBy("pid").agg(*(F.first(c).alias(c) for c in ("kind", *FIELDS)), F.count("*").alias("n")))  # equal within a pid
+    roots = resolve(profiles.select("pid", "kind", *FIELDS))
+    known = cut(profiles.select("pid", "n").join(roots, "pid", "left").select("pid", "n", F.coalesce("into", "pid").alias("root")))
+    return spread_lookup(parsed.select("entity_id", "pid"), known, "pid", "n", "entity_id").select("entity_id", "root").distinct()
 
 
 def linked(spark: SparkSession, folder: str) -> DataFrame:
