@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspar.llm import canon
@@ -49,6 +49,8 @@ NICKNAMES = {
 }
 _GIVEN = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()}
 
+#: Words of a name or description that a type hint weighs as.
+HINT = 2.0
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 _DOTTED = regex.compile(r"\b(?:\p{L}\.){2,}")
 _YEAR = regex.compile(r"\b(1[5-9]\d\d|20\d\d)\b")
@@ -306,33 +308,41 @@ def resolve(profiles: DataFrame) -> DataFrame:
     return roots
 
 
+def _plain_label(c: str) -> Column:
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+
+
 def kinds(nodes: DataFrame, entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """nodes with the column ``kind``: person, organisation, or null for other things.
+    """(entity_id, name, description, kind) of all nodes: person, organisation, or null for other things.
 
-    A resolved class decides, else the type hint mapped to the reference list; where neither is known, the words of
-    name and description do, weighed by how often they stand with each kind among the rows that are known.
+    A class that is a label of the reference list, but for case and punctuation, decides. Where it isn't, the words of
+    name and description and the three-letter parts of the type hint do (which differ little between its spellings),
+    weighed by how often they stand with each kind among all rows whose class is known. The parts of a hint, of which
+    there are many for one word, together weigh as HINT words. Rows without an id are kept.
     """
     group = F.when(F.col("label").isin(*PERSONS), "person").when(F.col("label").isin(*ORGANISATIONS), "organisation").otherwise("other")
-    hints = nodes.select(F.explode(F.array(F.when(~canon.unresolved("class_label"), F.col("class_label")), F.col("entity_type_hint"))).alias("value")).filter(F.btrim("value", F.lit(canon.BLANKS)) != "")
-    values = cut(hints.groupBy("value").agg(F.count("*").alias("n")).select(F.lit("concept").alias("kind"), "value", "n"))
-    mapped = cut(canon.map_values(values, entries).filter(F.col("ref_id") != canon.NONE).join(labels, "ref_id").select("value", group.alias("kind")))
-    by = lambda c, name: mapped.select(F.col("value").alias(c), F.col("kind").alias(name))
+    forms = entries.join(labels, "ref_id").select(_plain_label("name").alias("form"), group.alias("known")).groupBy("form").agg(F.min("known").alias("known"))
     nodes = nodes.select("entity_id", "entity_name", "entity_description", "entity_type_hint", "class_label").distinct()
-    known = nodes.join(by("class_label", "k1"), "class_label", "left").join(by("entity_type_hint", "k2"), "entity_type_hint", "left").withColumn("known", F.coalesce(F.when(~canon.unresolved("class_label"), F.col("k1")), F.col("k2")))
-    known = cut(known.select("entity_id", "entity_name", "entity_description", "known"))
+    hint = F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce("entity_type_hint", F.lit(""))), r"[^\p{L}]+", " "), F.lit(" ")), " +", " ")
     terms = F.array_distinct(F.concat(
         F.transform(F.regexp_extract_all(F.lower(F.coalesce("entity_name", F.lit(""))), F.lit(r"[\p{L}]{2,}|\p{N}"), F.lit(0)), lambda w: F.concat(F.lit("n "), w)),
         F.transform(F.regexp_extract_all(F.regexp_replace(F.coalesce("entity_description", F.lit("")), r"\b\p{Lu}[\p{L}]{4,}", "X"), F.lit(r"[\p{L}]+|[*(]"), F.lit(0)), lambda w: F.concat(F.lit("d "), F.lower(w))),
+        F.when(F.length("hint") > 2, F.transform(F.sequence(F.lit(1), F.length("hint") - 2), lambda i: F.concat(F.lit("h "), F.substring(F.col("hint"), i, F.lit(3))))).otherwise(F.array().cast("array<string>")),
     ))
-    counts = known.filter("known is not null").select("known", F.explode(terms).alias("term")).groupBy("term").agg(*(F.sum(F.when(F.col("known") == k, 1).otherwise(0)).alias(k) for k in ("person", "organisation", "other"))).filter("person + organisation + other >= 3")
-    size = lambda k: known.agg(F.greatest(F.sum(F.when(F.col("known") == k, 1).otherwise(0)), F.lit(1))).scalar()
-    unknown = known.filter("known is null").select("entity_id", "entity_name", "entity_description")
-    evidence = unknown.select("entity_id", "entity_name", "entity_description", F.explode(terms).alias("term")).join(counts, "term")
-    # the sum of log((count + 1/2) / (size + 1)) over the terms of a row
-    log = lambda k: (F.sum(F.log(F.col(k) + 0.5)) - F.count("*") * F.log(F.max(F.lit(1.0)) * size(k) + 1.0)).alias(k)
-    guessed = evidence.groupBy("entity_id", "entity_name", "entity_description").agg(log("person"), log("organisation"), log("other"))
-    guessed = guessed.withColumn("known", F.when((F.col("person") > F.col("other")) & (F.col("person") >= F.col("organisation")), "person").when(F.col("organisation") > F.col("other"), "organisation").otherwise("other"))
-    return known.filter("known is not null").unionByName(guessed.select("entity_id", "entity_name", "entity_description", "known")).select("entity_id", F.col("entity_name").alias("name"), F.col("entity_description").alias("description"), F.when(F.col("known") != "other", F.col("known")).alias("kind"))
+    rows = nodes.withColumn("hint", hint).withColumn("form", _plain_label("class_label"))
+    rows = cut(rows.join(F.broadcast(forms), "form", "left").select("entity_id", "entity_name", "entity_description", "known", terms.alias("terms"), F.greatest(F.length("hint") - 2, F.lit(1)).alias("parts"), F.xxhash64("entity_id", "entity_name", "entity_description", "hint").alias("row")))  # the list is a fixed set of some hundred forms
+    names = ("person", "organisation", "other")
+    each = [F.sum(F.when(F.col("known") == k, 1).otherwise(0)).alias(k) for k in names]
+    counts = cut(rows.select("known", F.explode("terms").alias("term")).groupBy("term").agg(*each, F.count("*").alias("n")).filter("person + organisation + other >= 3"))
+    size = rows.agg(*each).first() or dict.fromkeys(names, 0)
+    evidence = rows.filter("known is null").select("row", "parts", F.explode("terms").alias("term"))
+    weight = F.when(F.startswith("term", F.lit("h ")), HINT / F.col("parts")).otherwise(1.0)
+    # the weighed sum of log((count + 1/2) / (size + 1)) over the terms of a row
+    score = [F.sum(weight * F.log((F.col(k) + 0.5) / F.lit((size[k] or 0) + 1.0))).alias(k) for k in names]
+    guessed = spread_lookup(evidence, counts, "term", "n", "row").groupBy("row").agg(*score)
+    guess = F.when((F.col("person") > F.col("other")) & (F.col("person") >= F.col("organisation")), "person").when(F.col("organisation") > F.col("other"), "organisation")
+    decided = rows.join(guessed, "row", "left").select("entity_id", F.col("entity_name").alias("name"), F.col("entity_description").alias("description"), F.when(F.col("known").isNull(), guess).when(F.col("known") != "other", F.col("known")).alias("kind"))
+    return decided
 
 
 def link(entities: DataFrame) -> DataFrame:
