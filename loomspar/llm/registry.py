@@ -11,6 +11,7 @@ QUERIES = {
     "p3_links": identities.linked,
     "p4_found": pieces.found,
     "p4_pieces": pieces.pieces,
+    "p4_cover": pieces.cover,
     "p5_found": copies.found,
     "p6_sequences": packing.sequences,
     "p6_long_sequences": packing.long_sequences,

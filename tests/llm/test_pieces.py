@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from loomspar.llm import pieces
 
 
@@ -62,3 +64,67 @@ def test_boundaries_in_the_whole_span(spark, monkeypatch):
     assert (got[0]["piece_end"], got[0]["boundary"]) == (61, "word")
     monkeypatch.setattr(pieces, "RANGE", 64)
     assert [(r["piece_end"], r["boundary"]) for r in cut(spark, [text], 100, 45)[0]] == [(r["piece_end"], r["boundary"]) for r in got]
+
+
+def brute(text, size, overlap):
+    """(end, boundary) of the pieces, from the boundaries of the whole text."""
+    kind = {m.end(): n for n in (2, 1, 0) for m in pieces._PATTERNS[n].finditer(text)}
+    out, end = [], 0
+    while True:
+        limit = (end - overlap if out else 0) + size
+        if limit >= len(text):
+            return [*out, (len(text), "end")]
+        best = max(((-n, a) for a, n in kind.items() if max(end, overlap) < a <= limit), default=None)
+        end = best[1] if best else limit
+        out.append((end, pieces.KINDS[-best[0]] if best else "none"))
+
+
+def some_text(rng, n):
+    return "".join(rng.choice(["ab ", "cde. ", "F ", "\n\n", "ü", "漢字。", "x", "yyyyyyyyyyyyyyyy", "G\n"]) for _ in range(n)).strip()
+
+
+def test_ranges_give_the_cuts_of_the_whole_text(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(pieces, "RANGE", 70)
+    monkeypatch.setattr(pieces, "HALO", 64)
+    texts = [some_text(rng, rng.randint(100, 300)) for _ in range(60)]
+    for size, overlap in ((40, 0), (60, 20), (90, 30), (200, 50)):
+        got = cut(spark, texts, size, overlap)
+        for n, t in enumerate(texts):
+            want = brute(t, size, overlap)
+            assert [(r["piece_end"], r["boundary"]) for r in got.get(n, [])] == (want if len(t) > size else []), (size, overlap, n)
+
+
+def test_boundaries_that_no_piece_can_end_at_are_left_out():
+    text = "word " * 40 + ("Word " * 3 + "end. ") * 40 + "\n\nNext " + "word " * 100
+    many, few = (pieces.boundaries(text, 0, len(text), span) for span in (0, 300))
+    assert len(many) > len(few) and set(few.tolist()) <= set(many.tolist()) and np.all(np.diff(few) > 0)
+
+
+def test_one_value_is_searched_by_many_tasks(spark):
+    text = ("Sentence number one is here. " * 60000).strip()
+    frame = spark.createDataFrame([(1, text, 1000, 100)], "id bigint, value string, max_size int, overlap int")
+    spread = pieces.ranges_of(frame, ["id"], "value")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [n for n in spread.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 1 and sum(sizes) == -(-len(text) // pieces.RANGE)
+
+
+def test_files_by_byte_ranges(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(pieces, "RANGE", 61)
+    monkeypatch.setattr(pieces, "HALO", 256)
+    texts = {f"f{n}.txt": some_text(rng, 200) for n in range(6)} | {"empty.txt": "", "short.txt": "é"}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    out = {}
+    for r in pieces.split_files(spark, str(tmp_path), 80, 15).collect():
+        out.setdefault(r["path"].rsplit("/", 1)[1], []).append(r)
+    assert set(out) == set(texts) - {"empty.txt"}
+    for name, got in out.items():
+        got.sort(key=lambda r: r["piece_no"])
+        assert [(r["piece_end"], r["boundary"]) for r in got] == brute(texts[name], 80, 15)
+        assert all(r["piece"] == texts[name][r["piece_start"] : r["piece_end"]] for r in got)
