@@ -3,11 +3,13 @@
 Method: q-gram lemma filter. Texts are reduced to lower-case letters and digits (words apart by one blank; for
 languages written without blanks, nothing between characters). Character q-grams that a document shares with an item
 are counted in overlapping bands of diagonals. A stretch of w characters that occurs with at most e edits shares at
-least w - q + 1 - q * e of them within one band, so bands below that bound are dropped without loss; what is left is
-verified by banded alignment, and the longest unaltered run is measured on each diagonal of the band.
+least w - q + 1 - q * e of them within one band, so bands and then windows below that bound are dropped without loss.
+Windows of an item that are left are aligned within their band, and those with more edits than allowed are rejected. Of
+the documents that keep a window, the longest unaltered run is measured on each diagonal of the band.
 
-The items are the query side: a fixed evaluation set, checked against MAX_ITEM_CHARS, in blocks of BLOCK_CHARS. A
-larger set is worked through in several passes over the corpus. Documents are never collected or cut.
+The items are the query side. Their number of characters is counted first; a set beyond BLOCK_CHARS is divided by hash
+into blocks of about that size, each collected, searched for in one pass over the corpus and written before the next, so
+neither driver nor workers hold more than one block. Documents are never collected or cut.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from loomspar.runtime import table
+from loomspar.runtime import cut, table
 
 Q = {"words": 10, "chars": 5}
 EDITS = 2
 MIN_WORDS, MIN_CHARS = 10, 20
-#: Characters of items whose index one pass over the corpus holds in each worker (some 40 bytes for each).
+#: Characters of items whose index one pass over the corpus holds on the driver and in each worker (some 40 bytes for each).
 BLOCK_CHARS = 2_000_000
 #: Languages whose items are compared by characters, not words.
 UNSPACED = ("zh", "ja")
@@ -77,10 +79,21 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
     n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(q):
-        out = (out ^ codes[k : k + n].astype(np.uint64)) * _BASE
-        out ^= out >> np.uint64(29)
+    # hashes of 1, 2, 4, ... code points, put together by the binary digits of q
+    part, size, out, covered = codes.astype(np.uint64) * _BASE, 1, None, 0
+    while True:
+        if q & size:
+            out = part[:n].copy() if out is None else _mixed(out, part[covered : covered + n])
+            covered += size
+        size *= 2
+        if size > q:
+            return out
+        part = _mixed(part[: len(part) - size // 2], part[size // 2 :])
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = (a ^ (b >> np.uint64(31))) * _BASE + b
+    out ^= out >> np.uint64(29)
     return out
 
 
@@ -100,13 +113,17 @@ class Index:
         codes, starts = reduce_texts([fold(t) for _, t in items], kept, spaced)
         self.codes = [codes[a : b - 1] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         self.words = [words_of(c) if spaced else (np.arange(len(c)), np.arange(1, len(c) + 1)) for c in self.codes]
-        self.needed, bounds, keys, where, whose = [], [], [], [], []
+        self.needed, self.windows, bounds, keys, where, whose = [], [], [], [], [], []
         for n, (c, (a, b)) in enumerate(zip(self.codes, self.words, strict=True)):
             need = min(MIN_WORDS if spaced else MIN_CHARS, len(a))
-            width = int((b[need - 1 :] - a[: len(a) - need + 1]).min()) if need else 0
+            begin, stop = (a[: len(a) - need + 1], b[need - 1 :]) if need else (a[:0], b[:0])
+            widths = stop - begin
+            width = int(widths.min()) if need else 0
             self.needed.append(need)
-            edits = max(0, min(EDITS, (width - self.q) // (2 * self.q)))  # at least half of the grams must stay
-            bounds.append(max(1, width - self.q + 1 - self.q * edits))
+            edits = np.clip((widths - self.q) // (2 * self.q), 0, EDITS)  # at least half of the grams must stay
+            bound = np.maximum(1, widths - self.q + 1 - self.q * edits)
+            self.windows.append((begin, stop, edits, bound))
+            bounds.append(int(bound.min()) if need else 1)
             g = grams(c, self.q) if width >= self.q else np.zeros(0, np.uint64)
             keys.append(g), where.append(np.arange(len(g))), whose.append(np.full(len(g), n))
         self.short = [n for n, (c, need) in enumerate(zip(self.codes, self.needed, strict=True)) if need and not len(keys[n])]
@@ -117,22 +134,21 @@ class Index:
         self.filter = np.zeros(1 << 22, np.bool_)
         self.filter[(self.key >> np.uint64(42)).astype(np.int64)] = True
 
-    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Rows (document, item, lowest diagonal of the band, first and last offset in the item) that meet the bound."""
+    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(document, item, lowest diagonal of the band, windows of the item that meet their bound in it)."""
         g = grams(codes, self.q)
         at = np.flatnonzero(self.filter[(g >> np.uint64(42)).astype(np.int64)])
         low, high = np.searchsorted(self.key, g[at], "left"), np.searchsorted(self.key, g[at], "right")
         count = high - low
         at, low, count = at[count > 0], low[count > 0], count[count > 0]
         if not len(at):
-            return np.zeros((0, 5), np.int64)
+            return
         entry = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         pos = np.repeat(at, count)
         doc = np.searchsorted(starts, pos, "right") - 1
         item, offset = self.whose[entry], self.where[entry]
         diagonal = pos - starts[doc] - offset
         half = EDITS + 1
-        found = []
         for shift in (0, half):  # bands of 2 * half diagonals that overlap by half: any EDITS + 1 neighbours lie in one
             band = (diagonal + shift) // (2 * half)
             order = np.lexsort((offset, band, item, doc))
@@ -140,10 +156,13 @@ class Index:
             new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])))
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(d)))
-            ok = size >= self.bounds[i[first]]
-            last = first + size - 1
-            found.append(np.stack([d[first], i[first], b[first] * 2 * half - shift, o[first], o[last] + self.q], 1)[ok])
-        return np.concatenate(found)
+            for k in np.flatnonzero(size >= self.bounds[i[first]]):
+                n = int(i[first[k]])
+                begin, stop, _, bound = self.windows[n]
+                offsets = np.unique(o[first[k] : first[k] + size[k]])
+                shared = np.searchsorted(offsets, stop - self.q, "right") - np.searchsorted(offsets, begin, "left")
+                if len(w := np.flatnonzero(shared >= bound)):
+                    yield int(d[first[k]]), n, int(b[first[k]]) * 2 * half - shift, w
 
 
 def longest_run(item: np.ndarray, words: tuple[np.ndarray, np.ndarray], doc: np.ndarray, diagonal: int, spaced: bool) -> tuple[int, int]:
@@ -171,27 +190,29 @@ def longest_run(item: np.ndarray, words: tuple[np.ndarray, np.ndarray], doc: np.
     return best, chars
 
 
-def banded_edits(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """(edits, characters) of aligning the whole stretch of the item within the diagonals low..high of doc; ends of doc are free."""
-    width = high - low + 1
-    offsets = np.arange(width)
-    big = 1 << 20
-    previous = np.where((low + offsets >= 0) & (low + offsets <= len(doc)), 0, big)
-    for i in range(1, len(item) + 1):
-        j = i + low + offsets  # doc characters used up
-        valid = (j >= 0) & (j <= len(doc))
-        cost = np.ones(width, np.int64)
-        inside = valid & (j >= 1)
-        cost[inside] = doc[j[inside] - 1] != item[i - 1]
-        current = np.minimum(np.where(j >= 1, previous + cost, big), np.append(previous[1:], big) + 1)
-        current = np.minimum.accumulate(current - offsets) + offsets  # insertions
-        previous = np.where(valid, current, big)
-    return int(previous.min()), len(item)
-
-
-def _search(indexes: list[Index]):
+def banded_edits(item: np.ndarray, begin: np.ndarray, stop: np.ndarray, doc: np.ndarray, low: int, high: int) -> np.ndarray:
+    """For each window begin..stop of the item, the edits of aligning it within the diagonals low..high of doc."""
+    width, big = high - low + 1, 1 << 20
+    offsets, longest = np.arange(width), int((stop - begin).max())
+    used = begin[:, None] + low + offsets  # characters of doc before row 0
+    now = np.where((used >= 0) & (used <= len(doc)), 0, big)
+    out = np.full(len(begin), big)
+    for i in range(1, longest + 1):
+        j = used + i
+        inside = (j >= 1) & (j <= len(doc))
+        letter = item[np.minimum(begin + i - 1, len(item) - 1)]
+        differs = doc[np.clip(j - 1, 0, len(doc) - 1)] != letter[:, None]
+        skipped = np.concatenate((now[:, 1:], np.full((len(begin), 1), big)), 1) + 1
+        now = np.minimum(np.where(inside, now + differs, big), skipped)
+        now = np.where((j >= 0) & (j <= len(doc)), np.minimum.accumulate(now - offsets, 1) + offsets, big)
+        over = begin + i == stop
+        out[over] = now[over].min(1)
+    return out
+
+
+def _search(indexes: list[Index], packed: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = kept_characters()
+        kept = np.unpackbits(packed, count=sys.maxunicode + 1).astype(np.bool_)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             part_ids, part, size = [], [], 0
@@ -214,16 +235,17 @@ def _match(ids: list[int], texts: list[str], indexes: list[Index], kept: np.ndar
     for index in indexes:
         codes, starts = reduce_texts(texts, kept, index.spaced)
         best: dict[tuple[int, int], tuple] = {}
-        hits = index.candidates(codes, starts)
         for d, n in _contained(codes, starts, index):
             best[d, n] = (index.needed[n], len(index.codes[n]), len(index.codes[n]), 0)
-        for d, n, low, first, last in hits.tolist():
-            doc, item = codes[starts[d] : starts[d + 1] - 1], index.codes[n]
-            units, chars = max(longest_run(item, index.words[n], doc, k, index.spaced) for k in range(low, low + 2 * EDITS + 2))
-            begin = max(0, first + low - EDITS)  # the region of the document, with room for edits at both ends
-            shift = first + low - begin
-            edits, aligned = banded_edits(item[first:last], doc[begin : last + low + 3 * EDITS + 3], shift, shift + 2 * EDITS + 1)
-            row = (units, chars, aligned, edits)
+        for d, n, low, some in index.candidates(codes, starts):
+            doc, item, high = codes[starts[d] : starts[d + 1] - 1], index.codes[n], low + 2 * EDITS + 1
+            begin, stop, allowed, _ = index.windows[n]
+            edits = banded_edits(item, begin[some], stop[some], doc, low, high)
+            if not (edits <= allowed[some]).any():
+                continue
+            k = int(np.argmin(edits))
+            units, chars = max(longest_run(item, index.words[n], doc, diagonal, index.spaced) for diagonal in range(low, high + 1))
+            row = (units, chars, int(stop[some[k]] - begin[some[k]]), int(edits[k]))
             if row > best.get((d, n), ()):
                 best[d, n] = row
         for (d, n), (units, chars, aligned, edits) in best.items():
@@ -249,17 +271,6 @@ def _contained(codes: np.ndarray, starts: np.ndarray, index: Index) -> Iterator[
             at = text.find(item, at + 1)
 
 
-def blocks(items: list[tuple[int, str, str]]) -> list[list[tuple[int, str, str]]]:
-    out, size = [[]], 0
-    for item in items:
-        if size > BLOCK_CHARS:
-            out.append([])
-            size = 0
-        out[-1].append(item)
-        size += len(item[1])
-    return out
-
-
 def search(documents: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each (item, document) where a stretch of the item occurs, unaltered or with few edits.
 
@@ -269,16 +280,20 @@ def search(documents: DataFrame, items: DataFrame) -> DataFrame:
     a letter or digit and null or empty texts match nothing; copies of a document each have their rows; equal rows
     of (doc_id, text) count once.
     """
-    rows = items.filter("text is not null").select("item_id", "text", "lang").distinct().orderBy("item_id", "text").collect()  # the query side, a fixed set
-    kept = kept_characters()
-    out = []
-    for block in blocks([(r["item_id"], r["text"], r["lang"] or "") for r in rows]):
-        unspaced = [(i, t) for i, t, lang in block if lang.lower()[:2] in UNSPACED]
-        spaced = [(i, t) for i, t, lang in block if lang.lower()[:2] not in UNSPACED]
+    listed = items.filter("text is not null and item_id is not null").select("item_id", "text", F.lower(F.coalesce("lang", F.lit(""))).alias("lang")).distinct()
+    total = listed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = -(-total // BLOCK_CHARS)
+    kept, out = kept_characters(), []
+    packed = np.packbits(kept)
+    texts = documents.filter("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long"), F.col("text"))
+    for n in range(blocks):
+        block = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).orderBy("item_id", "text").collect()  # about BLOCK_CHARS characters
+        unspaced = [(r["item_id"], r["text"]) for r in block if r["lang"][:2] in UNSPACED]
+        spaced = [(r["item_id"], r["text"]) for r in block if r["lang"][:2] not in UNSPACED]
         indexes = [Index(part, kind, kept) for part, kind in ((spaced, True), (unspaced, False)) if part]
-        if not indexes:
-            continue
-        out.append(documents.filter("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_search(indexes), RESULT))
+        if indexes:
+            found = texts.mapInArrow(_search(indexes, packed), RESULT)
+            out.append(found if blocks == 1 else cut(found))
     if not out:
         return documents.sparkSession.createDataFrame([], RESULT)
     best = reduce(DataFrame.unionByName, out).groupBy("item_id", "doc_id").agg(F.max(F.struct(*RESULT.names[2:])).alias("best"))
@@ -286,7 +301,7 @@ def search(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """p7_leaks: every item and document that share a stretch, also an altered one, with the measures of the match."""
+    """p7_leaks: every item and document that share a window of words, unaltered or within the edits allowed, with the measures of the match."""
     return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 

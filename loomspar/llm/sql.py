@@ -50,3 +50,48 @@ left join limits n on n.used_for = core.kind and core.kind <> '*'
 left join limits r on r.used_for = '*'
 where length(c) > coalesce(n.max_size, r.max_size)
 """
+
+TEXTS["p4_cover"] = r"""
+with limits as (
+  select used_for, min(max_size) as max_size, min("overlap") as shared from size_limits where unit = 'characters' group by used_for
+), val as (
+  select id, kind, 'text' as field, text as v from in_plain_text
+  union
+  select id, kind, 'essay_content', essay_content from in_plain_text
+), core as (
+  select id, field, kind, v, length(regexp_extract(v, '^[\s\p{Z}\x{85}\x1c-\x1f]*(```)?[\s\p{Z}\x{85}\x1c-\x1f]*')) as covered_from,
+    length(v) - length(regexp_extract(v, '[\s\p{Z}\x{85}\x1c-\x1f]*(```)?[\s\p{Z}\x{85}\x1c-\x1f]*$')) as covered_to
+  from val where v is not null
+)
+select id, field, covered_from, covered_to, coalesce(n.shared, r.shared) as least_shared, coalesce(n.shared, r.shared) as most_shared, true as kept from core
+left join limits n on n.used_for = core.kind and core.kind <> '*'
+left join limits r on r.used_for = '*'
+where covered_to - covered_from > coalesce(n.max_size, r.max_size)
+"""
+
+TEXTS["p7_found"] = r"""
+with items as (
+  select item_id, lang in ('zh', 'ja') as unspaced, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from benchmark where text is not null
+), docs as (
+  select doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from documents where text is not null
+), units as (
+  select item_id, w, len(w) as k, least(10, len(w)) as n from items where not unspaced and len(w) > 0
+), item_words as (
+  select item_id, n, unnest(w) as x, generate_subscripts(w, 1) as i, k from units
+), item_windows as (
+  select distinct item_id, n, g from (select item_id, n, i, k, string_agg(x, ' ') over (partition by item_id order by i rows between current row and n - 1 following) as g from item_words) where i + n - 1 <= k
+), doc_words as (
+  select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i, len(w) as k from docs
+), doc_windows as (
+  select n, doc_id, string_agg(x, ' ') over (partition by n, doc_id order by i rows between current row and n - 1 following) as g, i, k from doc_words, (select distinct n from item_windows)
+), item_chars as (
+  select item_id, array_to_string(w, '') as s, least(20, length(array_to_string(w, ''))) as n from items where unspaced and len(w) > 0
+), char_windows as (
+  select distinct item_id, n, substr(s, i, n) as g from (select item_id, s, n, unnest(range(1, length(s) - n + 2)) as i from item_chars)
+), doc_chars as (
+  select doc_id, array_to_string(w, '') as s from docs
+)
+select distinct item_id, doc_id from doc_windows join item_windows using (n, g) where i + n - 1 <= k
+union
+select distinct item_id, doc_id from char_windows join doc_chars on contains(s, g)
+"""

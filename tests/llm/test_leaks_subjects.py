@@ -1,3 +1,5 @@
+import random
+
 from loomspar.llm import leaks, subjects
 
 ITEM = "The score sheet near Krasild was handed by Lutuld to the Skazister board in 1947."
@@ -22,6 +24,35 @@ def test_search(spark):
     assert 0 < got[1, 5]["edits"] <= 4 and got[1, 0]["edits"] == 0
 
 
+def altered(rng, text, edits):
+    letters = list(text)
+    for _ in range(edits):
+        k = rng.randrange(2, len(letters) - 2)
+        letters[k : k + 1] = rng.choice(([], [rng.choice("bcdfgz")], [letters[k], "x"]))
+    return "".join(letters)
+
+
+def test_edits_are_found_and_more_are_rejected(spark):
+    # brute force over windows of ten words: found are those within the edits allowed, rejected those with many more
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(5, 10))) for _ in range(400)]
+    items = [(n, " ".join(rng.sample(words, 12)), "en") for n in range(40)]
+    docs = ["pad word here " + altered(rng, text, n % 3) + " and an end" for n, text, _ in items]
+    docs += [" ".join(w[::-1] if k % 2 else w for k, w in enumerate(text.split())) for _, text, _ in items]
+    got = searched(spark, docs, items)
+    assert {(n, n) for n in range(40)} <= set(got)
+    assert not {(n, n + 40) for n in range(40)} & set(got)
+    assert all(r["edits"] <= 2 for r in got.values()) and all(got[n, n]["edits"] <= n % 3 for n in range(40))
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    items = [(n, f"{ITEM} number {n} of the list", "en") for n in range(30)]
+    docs = [t for _, t, _ in items] + [ITEM]
+    one = searched(spark, docs, items)
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 900)
+    assert searched(spark, docs, items) == one
+
+
 def test_empty_tables(spark):
     assert searched(spark, [], [(1, ITEM, "en")]) == {}
     assert searched(spark, [ITEM], []) == {}
