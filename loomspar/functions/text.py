@@ -196,5 +196,9 @@ def map_text(value: Column | str) -> Column:
 
 
 def single_quotes(value: Column | str) -> Column:
-    """Double quotes inside values become single ones, for JSON that is stored in CSV."""
-    return F.regexp_replace(col(value), '"', "'")
+    """JSON text whose values and keys hold no double quotes, so that it can be stored in CSV: they become single ones.
+
+    Inside a JSON string a double quote is always escaped, which tells it from the ones that delimit; the text stays JSON at
+    any depth. Null stays null.
+    """
+    return F.regexp_replace(col(value), r'(?<!\\)((?:\\\\)*)\\(?:"|u0022)', "$1'")

@@ -11,7 +11,7 @@ from loomspar.functions import text as T
 from loomspar.operators import chunk, metrics, records
 from loomspar.plans.base import GRAPHS, NODES, RELS, Registry, current_nodes, current_rels, graph_edges
 from loomspar.plans.eval_queries import GOLD, JUDGED, STRUCTURE, a21_method_statistics, gold, judged, weights
-from loomspar.plans.record_queries import CHUNKS, safe
+from loomspar.plans.record_queries import CHUNKS, PROPS, safe
 from loomspar.plans.text_queries import BODY, sections
 from loomspar.runtime import shared_dir, table
 from loomspar.sources import io
@@ -153,10 +153,12 @@ def f23_percent(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "kg_rels").withColumn("c", T.to_double("confidence")).filter("c is not null").select("seq", T.percent("c").alias("share"))
 
 
-@query(f"""with {NODES} select entity_id, coalesce(entity_name, '') as entity_name, coalesce(entity_description, '') as entity_description, replace(coalesce(node_properties, ''), '"', chr(39)) as node_properties from nodes""")
+@query(f"""with {NODES} select entity_id, coalesce(entity_name, '') as entity_name, coalesce(entity_description, '') as entity_description,
+  array_to_string(list_transform({PROPS}, lambda p: replace(p.prop_name, '"', chr(39)) || '=' || coalesce(replace(p.prop_value, '"', chr(39)), '')), '|') as properties from nodes""")
 def s13_graph_files(spark: SparkSession, folder: str) -> DataFrame:
     """The graph written as CSV files and read again."""
     place = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     io.write_graph(current_nodes(spark, folder), current_rels(spark, folder), place)
     nodes, _ = io.read_graph(spark, place)
-    return nodes.select("entity_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("entity_name", "entity_description", "node_properties")))
+    properties = F.transform(F.from_json("node_properties", "array<struct<prop_name:string,prop_value:string>>"), lambda p: F.concat(p["prop_name"], F.lit("="), F.coalesce(p["prop_value"], F.lit(""))))
+    return nodes.select("entity_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("entity_name", "entity_description")), F.array_join(properties, "|").alias("properties"))

@@ -148,9 +148,17 @@ def f18_qualifiers(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("relation_id", "seq", F.array_join(F.transform(F.array_sort(F.map_entries("q")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("qualifiers"), F.size("q").cast("long").alias("n"))
 
 
-@query("""select distinct entity_id, replace(node_properties, '"', chr(39)) as node_properties from kg_nodes where node_properties is not null""")
+@query("""select seq, len(p) as n, array_to_string(list_transform(p, lambda x: replace(x.prop_name, '"', chr(39)) || '=' || coalesce(replace(x.prop_value, '"', chr(39)), '')), '|') as properties from (
+  select seq, from_json(json_array(json_object('prop_name', 'raw "' || coalesce(raw_relation_name, '') || '"', 'prop_value', evidence_excerpt), json_object('prop_name', 'back\\slash', 'prop_value', '5" pipe \\" ' || coalesce(remark, ''))),
+    '[{"prop_name":"VARCHAR","prop_value":"VARCHAR"}]') as p from kg_rels)""")
 def f20_single_quotes(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "kg_nodes").filter("node_properties is not null").select("entity_id", T.single_quotes("node_properties").alias("node_properties")).distinct()
+    """Properties that hold quotes and backslashes, as JSON after the rule for quotes and read again from it."""
+    fields = lambda name, value: F.struct(name.alias("prop_name"), value.alias("prop_value"))
+    first = fields(F.concat(F.lit('raw "'), F.coalesce("raw_relation_name", F.lit("")), F.lit('"')), F.col("evidence_excerpt"))
+    second = fields(F.lit("back\\slash"), F.concat(F.lit('5" pipe \\" '), F.coalesce("remark", F.lit(""))))
+    stored = table(spark, folder, "kg_rels").select("seq", T.single_quotes(F.to_json(F.array(first, second))).alias("stored"))
+    parsed = stored.select("seq", F.from_json("stored", "array<struct<prop_name:string,prop_value:string>>").alias("p"))
+    return parsed.select("seq", F.size("p").cast("long").alias("n"), F.array_join(F.transform("p", lambda x: F.concat(x["prop_name"], F.lit("="), F.coalesce(x["prop_value"], F.lit("")))), "|").alias("properties"))
 
 
 @query(r"""select item_id, regexp_extract(i, '^(.*)_[0-9]+$', 1) as prefix_plain, cast(regexp_extract(i, '_([0-9]+)$', 1) as int) as number, split as split_found from (select item_id, split, ontology || '_' || split || '_' || item_id as i from benchmark)""")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomspar.functions import text as T
 
 DOCUMENT = "struct<id:string,title:string,text:string,content:string>"
+# The columns of the two files of a graph.
 NODE_COLUMNS = ("entity_id", "entity_name", "entity_description", "entity_type_hint", "entity_confidence", "entity_resolution_context", "entity_flag", "class_id", "class_label", "class_group", "chunk_ids", "node_properties")
 RELATION_COLUMNS = ("relation_id", "start_id", "end_id", "raw_relation_name", "canonical_rel_name", "canonical_rel_desc", "rel_cls", "rel_cls_group", "rel_hint_type", "confidence", "resolution_context", "justification", "remark", "evidence_excerpt", "chunk_id", "qualifiers", "rel_desc")
 
@@ -67,7 +68,7 @@ def write_csv(rows: DataFrame, path: str, quote_all: bool = False) -> None:
 
 
 def write_graph(nodes: DataFrame, relations: DataFrame, path: str) -> None:
-    """The graph as two CSV folders, every field quoted; JSON columns hold single quotes only."""
+    """The graph as two CSV folders, every field quoted; strings inside the JSON columns hold no double quotes."""
     for rows, columns, name in ((nodes, NODE_COLUMNS, "nodes"), (relations, RELATION_COLUMNS, "relations")):
         out = rows.select(*(F.coalesce(T.single_quotes(c) if c in ("node_properties", "qualifiers") else F.col(c), F.lit("")).alias(c) for c in columns))
         out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(f"{path}/{name}")
@@ -145,7 +146,7 @@ def collect_triples(rows: DataFrame) -> DataFrame:
     triple = "array<struct<Head:string,Relation:string,Tail:string>>"
     event = "array<struct<Event:string,Entity:array<string>>>"
     direct = [rows.select(F.explode(F.from_json(c, triple)).alias("t")).select("t.Head", "t.Relation", "t.Tail") for c in ("entity_relation_dict", "event_relation_dict")]
-    events = rows.select(F.explode(F.from_json("event_entity_relation_dict", event)).alias("e")).select(F.col("e.Event").alias("Head"), F.lit("is participated by").alias("Relation"), F.explode("e.Entity").alias("Tail"))
+    events = rows.select(F.explode(F.from_json("event_entity_dict", event)).alias("e")).select(F.col("e.Event").alias("Head"), F.lit("is participated by").alias("Relation"), F.explode("e.Entity").alias("Tail"))
     out = direct[0].unionByName(direct[1]).unionByName(events).select(*(F.trim(c).alias(c.lower()) for c in ("Head", "Relation", "Tail")))
     return out.filter("head <> '' and relation <> '' and tail <> ''")
 
