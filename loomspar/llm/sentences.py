@@ -1,6 +1,7 @@
 """Sentence boundaries across languages and scripts (problem 2).
 
-Method: unsupervised boundary statistics (after Kiss and Strunk). One pass over all texts counts, for each language,
+Method: unsupervised boundary statistics (after Kiss and Strunk). The language of a paragraph is told by its words, whose
+frequencies in each language are learned from texts that say their language. One pass over all texts counts, for each language,
 types with and without a final period, what follows these periods, and words at certain sentence starts. From the
 counts, by log-likelihood ratios: abbreviations; sentence starters; numbers and words that stick to a period before
 them (collocations); and whether an abbreviation can end a sentence. A second pass classifies each period with
@@ -10,6 +11,7 @@ brackets, list items, blank lines and the blanks of Thai are decided by rule.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,16 +23,14 @@ from pyspark.sql import functions as F
 
 from loomspar.runtime import cut, table
 
-# Frequent function words, enough to tell the languages of one script apart.
-FUNCTION_WORDS = {
-    "en": "the of and in to was is for that had who by from on at said nothing it more than",
-    "de": "der die das und ist von zu mit für auf den dem als nichts bei wer war hätte zum gilt am wichtiger",
-    "es": "el la los las de y en que por no un una del es se más qué quién con días",
-    "fr": "le la les de et est pour un une à au du que qui pas des dans sur plus a jours",
-}
-# Scripts that stand for one language here.
-SCRIPTS = (("ru", r"\p{Cyrillic}"), ("ar", r"\p{Arabic}"), ("hi", r"\p{Devanagari}"), ("th", r"\p{Thai}"), ("cjk", r"[\p{Han}\p{Hiragana}\p{Katakana}]"))
+# Scripts that are told apart; a text without a known word counts with its script.
+SCRIPTS = (("cyrillic", r"\p{Cyrillic}"), ("arabic", r"\p{Arabic}"), ("devanagari", r"\p{Devanagari}"), ("thai", r"\p{Thai}"), ("cjk", r"[\p{Han}\p{Hiragana}\p{Katakana}]"))
 
+#: About so many texts with a stated language are read to learn its words. A word counts from that share of a language's
+#: words on (so at most 1 / share of them do), a language from that share of all words on.
+LABELLED, COMMON_WORD, COMMON_LANGUAGE = 20_000, 1e-3, 1e-3
+#: A word is taken to have at least this share in any language.
+FLOOR = 1e-4
 #: Punkt's thresholds: score of an abbreviation, log-likelihood ratio of a sentence starter and of a collocation.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 #: Types rarer than this share of a language's periods (starts) can't be learned: at most 1 / share of them are broadcast.
@@ -38,8 +38,6 @@ RARE = 1e-5
 #: A starter follows an abbreviation inside a sentence with this chance.
 NOISE = 0.05
 _FLUSH = 200_000
-#: Open quotations and brackets that a closing mark looks back over.
-_DEPTH = 50
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’\-][\p{L}\p{M}\p{N}]+)*")
 _NUMBER = regex.compile(r"[\p{N}][\p{N}.,:\-]*")
@@ -50,11 +48,14 @@ _NUMBERED = regex.compile(r"(?:^|\n)[^\S\n`]*`*[^\S\n]*\d{1,3}\.[^\S\n]+")
 _HEADING = regex.compile(r"[\s`]*\d{1,3}(?:\.\d{1,3})+\.?[^\S\n]+\p{Lu}[^\n.!?:;]{0,60}(?=\n)")
 _EVENT = regex.compile(r"[\"“”„«»‹›「」『』（）()\[\]【】《》]|[.!?…。！？｡।॥؟۔．]+")
 _OPEN = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》"}
+_OPENERS = {c: tuple(o for o, closing in _OPEN.items() if c in closing) for c in {c for closing in _OPEN.values() for c in closing}}
 _CLOSERS = "\"“”»›」』)）]】》'’"
 _OWN_STOPS = frozenset("。！？｡।॥؟۔．")
 _TRIM = regex.compile(r"^[\s`]+|[\s`]+$")
 _THAI_GAP = regex.compile(r"(?<=[\p{Thai}])(?<!\p{N})\s+(?!\s|\p{N})|(?<=[^\s\p{N}])\s+(?=[\p{Thai}])(?=[^\p{N}])")
-_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’\-/][\p{L}\p{M}\p{N}]+)*$")
+_RUN_BACK = regex.compile(r"(?r)[\p{L}\p{M}\p{N}]+")
+_JOINERS = frozenset(".'’-/")
+_ONLY_CLOSERS = regex.compile("[ \u00a0\u202f'’" + regex.escape(_CLOSERS) + "]*")
 _LEAD = " \t\r\n\f\v 　  \"“„«‹¿¡([（「『'‘—–-"
 
 
@@ -67,38 +68,65 @@ class Language:
     after_number: frozenset[str] = frozenset()
 
 
-def script_of(text: str) -> str:
-    """Language by script of most letters; ``latin`` if none of the listed scripts has the most."""
-    best, most = "latin", len(_LATIN.findall(text))
-    if most == len(text):
-        return best
-    for name, pattern in _SCRIPTS:
-        n = len(pattern.findall(text))
-        if n > most:
-            best, most = name, n
-    return best
-
-
 _SCRIPTS = tuple((name, regex.compile(pattern)) for name, pattern in SCRIPTS)
-_FUNCTION = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v.split()) for v in FUNCTION_WORDS.values() for w in v.split()}
-
-
-def latin_language(text: str) -> str | None:
-    """The language whose function words are most frequent, or None without any."""
-    votes: Counter[str] = Counter()
-    for w in _WORD.findall(text.lower()):
-        for k in _FUNCTION.get(w, ()):
-            votes[k] += 1
-    return max(votes, key=lambda k: (votes[k], k)) if votes else None
 
 
-def token_language(token: str, latin: str) -> str:
-    if token.isascii():
-        return latin
+@dataclass(slots=True)
+class Model:
+    """What was learned of a corpus. words: word -> (language, weight) of the languages it speaks for; scripts: of each language; by_script: the most frequent language of each script."""
+
+    languages: dict[str, Language] = field(default_factory=dict)
+    words: dict[str, tuple[tuple[str, float], ...]] = field(default_factory=dict)
+    scripts: dict[str, str] = field(default_factory=dict)
+    by_script: dict[str, str] = field(default_factory=dict)
+    _longest: int = -1
+
+    def local(self, text: str) -> dict[str, str]:
+        """By script, the language that the words of a text speak for most; scripts without a known word are missing."""
+        votes: dict[str, float] = {}
+        for w in _WORD.findall(text.lower()):
+            for k, weight in self.words.get(w, ()):
+                votes[k] = votes.get(k, 0.0) + weight
+        return {self.scripts[k]: k for k in sorted(votes, key=lambda k: (votes[k], k))}
+
+    def longest(self) -> int:
+        """The length of the longest abbreviation that was learned."""
+        if self._longest < 0:
+            self._longest = max((len(w) for language in self.languages.values() for w in language.abbreviations), default=0)
+        return self._longest
+
+    def of_token(self, token: str, local: dict[str, str]) -> str:
+        """The language that a token counts with, by its script; numbers count with the Latin one."""
+        script = "latin" if token.isascii() else script_of(token)
+        return local.get(script) or ("und" if script == "latin" else self.by_script.get(script, script))
+
+
+def script_of(token: str) -> str:
     for name, pattern in _SCRIPTS:
         if pattern.search(token):
             return name
-    return latin
+    return "latin"
+
+
+def learn_words(texts: DataFrame, text: str, lang: str) -> Model:
+    """A model that tells languages apart. A stated language is the first part of a tag such as en or en-GB, in any case."""
+    label = F.regexp_extract(F.lower(F.coalesce(lang, F.lit(""))), r"^\s*([a-z]{2,3})(?![a-z])", 1)
+    stated = texts.select(label.alias("label"), F.col(text).alias("text")).filter("label <> '' and text <> ''")
+    share = F.lit(LABELLED) / F.greatest(stated.agg(F.count("*")).scalar(), F.lit(1))
+    some = stated.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    counts = cut(some.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word")).groupBy("label", "word").agg(F.count("*").alias("n")))
+    total = counts.groupBy("label").agg(F.sum("n").alias("total")).filter(F.col("total") >= counts.agg(F.sum("n")).scalar() * COMMON_LANGUAGE)
+    frequent = counts.join(F.broadcast(total), "label").filter(F.col("n") >= F.col("total") * COMMON_WORD)  # at most 1 / COMMON_LANGUAGE languages
+    found: dict[str, list[tuple[str, float]]] = {}
+    letters: dict[str, Counter] = {}
+    size: Counter[str] = Counter()
+    for r in frequent.orderBy("label", "word").collect():
+        found.setdefault(r["word"], []).append((r["label"], math.log1p(r["n"] / r["total"] / FLOOR)))
+        letters.setdefault(r["label"], Counter())[script_of(r["word"])] += r["n"]
+        size[r["label"]] = r["total"]
+    scripts = {k: max(v, key=lambda x: (v[x], x)) for k, v in letters.items()}
+    by_script = {script: max((k for k in scripts if scripts[k] == script), key=lambda k: (size[k], k)) for script in {*scripts.values()}}
+    return Model({}, {w: tuple(v) for w, v in found.items()}, scripts, by_script)
 
 
 def segments(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -132,32 +160,27 @@ def _paragraph(text: str, start: int, end: int) -> Iterator[tuple[int, int, bool
 
 
 def pairs(events: list[tuple[int, int, str]]) -> dict[int, int]:
-    """Offsets of matching quotation marks and brackets: opening -> closing."""
+    """Offsets of matching quotation marks and brackets: opening -> closing. A closing mark matches the nearest open one that it can close."""
     found, stack = {}, []
+    places: dict[str, list[int]] = {}  # by opening mark, where it is on the stack
     for at, _, mark in events:
-        deepest = max(-1, len(stack) - 1 - _DEPTH)
-        if mark == '"':
-            for k in range(len(stack) - 1, deepest, -1):
-                if stack[k][1] == '"':
-                    found[stack[k][0]] = at
-                    del stack[k:]
-                    break
-            else:
-                stack.append((at, '"'))
-            continue
-        for k in range(len(stack) - 1, deepest, -1):
-            if mark in _OPEN.get(stack[k][1], ""):
-                found[stack[k][0]] = at
-                del stack[k:]
-                break
-        else:
-            if mark in _OPEN:
-                stack.append((at, mark))
+        openers = ('"',) if mark == '"' else _OPENERS.get(mark, ())
+        k = max((places[o][-1] for o in openers if places.get(o)), default=-1)
+        if k >= 0:
+            found[stack[k][0]] = at
+            while len(stack) > k:
+                places[stack.pop()[1]].pop()
+        elif mark == '"' or mark in _OPEN:
+            places.setdefault(mark, []).append(len(stack))
+            stack.append((at, mark))
     return found
 
 
-def following(text: str, at: int, end: int) -> tuple[str, str]:
-    """(class, word) of what follows offset at: l lower case, u capital, n number, o letter without case, p punctuation, e nothing."""
+def following(text: str, at: int, end: int, wanted: bool = True) -> tuple[str, str]:
+    """(class, word) of what follows offset at: l lower case, u capital, n number, o letter without case, p punctuation, e nothing.
+
+    The word is left empty where it isn't wanted, and of lower-case words.
+    """
     while at < end and text[at] in _LEAD:
         at += 1
     if at >= end:
@@ -167,37 +190,48 @@ def following(text: str, at: int, end: int) -> tuple[str, str]:
         return "n", "##"
     if not c.isalpha():
         return ("p", c) if c in ",;:)]…/" else ("u", c)  # emoji and the like begin sentences as capitals do
-    match = _WORD.match(text, at, end)
-    word = match.group() if match else c
     if c.islower():
-        return "l", word
+        return "l", ""
+    match = _WORD.match(text, at, end) if wanted else None
+    word = match.group() if match else c if wanted else ""
     return ("u" if c.isupper() or c.istitle() else "o"), word
 
 
-def period_type(text: str, at: int, low: int) -> str:
-    """The type before the period at offset at: its lower-case form, ## for numbers, empty if there is none."""
-    match = _BEFORE.search(text, max(low, at - 40), at)
-    if not match:
-        return ""
-    token = match.group()
-    return "##" if _NUMBER.fullmatch(token) else token.lower()
+def token_start(text: str, at: int, low: int, before: tuple[int, int]) -> int:
+    """Where the token that ends at offset at begins: words joined by single joiners. before: (at, start) of an earlier period, so that no part is read twice."""
+    start = at
+    while True:
+        run = _RUN_BACK.match(text, low, start)
+        if not run:
+            return start + (start < at)
+        start = run.start()
+        if start == low or text[start - 1] not in _JOINERS:
+            return start
+        start -= 1
+        if start == before[0]:
+            return before[1] if before[1] < before[0] else start + 1
+
 
+def period_type(text: str, start: int, at: int) -> str:
+    """The type before the period at offset at, whose token begins at start: its lower-case form, ## for numbers, empty if there is none."""
+    return "" if start == at else "##" if _NUMBER.fullmatch(text, start, at) else text[start:at].lower()
 
-def count_text(text: str, counts: Counter) -> None:
+
+def count_text(text: str, counts: Counter, model: Model) -> None:
     """Adds the text's counts: (language, kind, type, following) with kind t type, p type with period, f followed by, s start."""
-    latin = latin_language(text) or "und"
+    of_text = model.local(text)
     for start, end, whole in segments(text):
         if whole:
             continue
         part = text[start:end]
-        local = latin_language(part) or latin
+        local = of_text | model.local(part)
         kind, word = following(part, 0, len(part))
         if kind in "uno":
-            counts[token_language(word, local), "s", word, ""] += 1
+            counts[model.of_token(word, local), "s", word, ""] += 1
         for m in _WORD.finditer(part):
             token = m.group()
             number = _NUMBER.fullmatch(token) is not None
-            language = local if number else token_language(token, local)
+            language = local.get("latin", "und") if number else model.of_token(token, local)
             counts[language, "t", "##" if number else token.lower(), ""] += 1
             if token[0].isupper() or number or not token[0].islower():
                 counts[language, "c", "##" if number else token, ""] += 1
@@ -213,7 +247,7 @@ def count_text(text: str, counts: Counter) -> None:
             if m.group()[-1] in "!?。！？।؟" and part[m.end() : m.end() + 1].isspace() | (m.group()[-1] in _OWN_STOPS):
                 kind, word = following(part, m.end(), len(part))
                 if kind in "uno":
-                    counts[token_language(word, local), "s", word, ""] += 1
+                    counts[model.of_token(word, local), "s", word, ""] += 1
 
 
 _COUNT_FIELDS = (("language", pa.string()), ("kind", pa.string()), ("type", pa.string()), ("next", pa.string()), ("n", pa.int64()))
@@ -224,15 +258,18 @@ def _flush(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(counts.values(), pa.int64())], names=[n for n, _ in _COUNT_FIELDS])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            count_text(text, counts)
-            if len(counts) > _FLUSH:
-                yield _flush(counts)
-                counts = Counter()
-    yield _flush(counts)
+def _count(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                count_text(text, counts, model)
+                if len(counts) > _FLUSH:
+                    yield _flush(counts)
+                    counts = Counter()
+        yield _flush(counts)
+
+    return run
 
 
 def log_ratio(k: Column, n: Column, p: Column, q: Column) -> Column:
@@ -241,11 +278,12 @@ def log_ratio(k: Column, n: Column, p: Column, q: Column) -> Column:
     return 2 * (k * F.log(q / p) + (n - k) * F.log(F.greatest(1 - q, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9))))
 
 
-def learn(texts: DataFrame, text: str = "text") -> dict[str, Language]:
-    """The statistics of all texts, by language. Null and empty texts add nothing."""
+def learn(texts: DataFrame, text: str = "text", lang: str | None = None) -> Model:
+    """The statistics of all texts, by language (by script where no text states its language). Null and empty texts add nothing."""
+    model = learn_words(texts, text, lang) if lang else Model()
     counts = cut(
         texts.select(text).filter(F.col(text) != "")
-        .mapInArrow(_count, "language string, kind string, type string, next string, n bigint")
+        .mapInArrow(_count(model), "language string, kind string, type string, next string, n bigint")
         .groupBy("language", "kind", "type", "next").agg(F.sum("n").alias("n"))
     )
     total = counts.groupBy("language").agg(
@@ -286,30 +324,32 @@ def learn(texts: DataFrame, text: str = "text") -> dict[str, Language]:
     numeric = follow.filter("type = '##' and next not in ('##', '-') and is_starter is null").select("language", "next", "n")
     sums = numeric.join(begun.select("language", F.col("type").alias("next"), F.col("share").alias("at")), ["language", "next"], "left").join(F.broadcast(total), "language")
     sticking = sums.filter((F.col("n") >= 3) & (F.col("n") >= RARE * F.col("periods")) & (F.col("n") / F.col("periods") > 3 * F.coalesce("at", F.lit(0.0))) & (log_ratio(F.col("n"), F.col("periods"), F.coalesce("at", F.lit(1e-6)), F.col("n") / F.col("periods")) > COLLOCATION))
-    out: dict[str, Language] = {}
+    out = model.languages
     for r in types.select("language", "type", F.when(F.col("capitals_after") >= 1, F.col("ends") > 0).alias("ends"), "numeric").collect():
         out.setdefault(r[0], Language()).abbreviations[r[1]] = (r[2], r[3])
     for frame, name in ((starter, "starters"), (sticking, "after_number")):
         for r in frame.groupBy("language").agg(F.collect_set("next").alias("words")).collect():
             setattr(out.setdefault(r[0], Language()), name, frozenset(r[1]))
-    return out
+    return model
 
 
 _NONE = Language()
 
 
-def ends_here(text: str, at: int, after: int, low: int, end: int, latin: str, model: dict[str, Language]) -> bool:
-    """Whether the single period at offset at ends a sentence; after: offset behind it and any closing marks."""
-    name = period_type(text, at, low)
+def ends_here(text: str, start: int, at: int, after: int, end: int, local: dict[str, str], model: Model) -> bool:
+    """Whether the single period at offset at ends a sentence; start: of the token before it; after: offset behind it and any closing marks."""
     spaced = after < end and text[after].isspace()
-    kind, word = following(text, after, end) if spaced else ((following(text, after, after + 40 if after + 40 < end else end)) if after < end else ("e", ""))
+    kind, word = following(text, after, end, spaced)
     if kind == "e":
         return True
     if kind in "lp" or (kind == "n" and not spaced):
         return False
+    if at - start > model.longest() and not _NUMBER.fullmatch(text, start, at):  # can't be learned; what matters is whether it holds a period
+        return text.find(".", start, at) < 0 or spaced and word in model.languages.get(model.of_token(text[start : start + 1], local), _NONE).starters
+    name = period_type(text, start, at)
     if not name:
         return spaced
-    learned = model.get(latin if name == "##" else token_language(name, latin), _NONE)
+    learned = model.languages.get(local.get("latin", "und") if name == "##" else model.of_token(name, local), _NONE)
     if name == "##":
         return spaced and word not in learned.after_number or not spaced and kind == "u"
     entry = learned.abbreviations.get(name)
@@ -321,10 +361,10 @@ def ends_here(text: str, at: int, after: int, low: int, end: int, latin: str, mo
     return closing if closing is not None and (spaced or closing) else spaced and word in learned.starters
 
 
-def spans(text: str, model: dict[str, Language]) -> list[tuple[int, int]]:
+def spans(text: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of each sentence of text, in order."""
     out: list[tuple[int, int]] = []
-    whole_latin = None
+    of_text = None
     for start, end, whole in segments(text):
         if whole:
             _add(text, start, end, out)
@@ -333,11 +373,9 @@ def spans(text: str, model: dict[str, Language]) -> list[tuple[int, int]]:
         part = text[start:end]
         events = [(m.start() + start, m.end() + start, m.group()) for m in _EVENT.finditer(part)]
         if events:
-            latin = latin_language(part)
-            if latin is None:
-                whole_latin = whole_latin or latin_language(text) or "und"
-                latin = whole_latin
-            cuts = _cuts(text, start, end, events, latin, model)
+            of_text = model.local(text) if of_text is None else of_text
+            local = of_text | model.local(part)
+            cuts = _cuts(text, start, end, events, local, model)
         if _SCRIPTS[3][1].search(part):
             cuts = sorted({*cuts, *(m.start() + start for m in _THAI_GAP.finditer(part))})
         low = start
@@ -348,18 +386,18 @@ def spans(text: str, model: dict[str, Language]) -> list[tuple[int, int]]:
     return out
 
 
-def _cuts(text: str, start: int, end: int, events: list[tuple[int, int, str]], latin: str, model: dict[str, Language]) -> list[int]:
+def _cuts(text: str, start: int, end: int, events: list[tuple[int, int, str]], local: dict[str, str], model: Model) -> list[int]:
     matched = pairs(events)
     closing = {c: o for o, c in matched.items()}
     cuts: list[int] = []
-    low, inside_until, last_mark = start, -1, None
+    low, inside_until, last_mark, before = start, -1, None, (-1, -1)
     for at, stop, mark in events:
         if at in matched:
             inside_until = max(inside_until, matched[at])
             continue
         quoted_from = None
         if at in closing:
-            if at < inside_until or last_mark is None or at - last_mark[1] > 20 or text[last_mark[1] : at].strip("   '’" + _CLOSERS):
+            if at < inside_until or last_mark is None or not _ONLY_CLOSERS.fullmatch(text, last_mark[1], at):
                 continue
             quoted_from, (m_at, m_stop, mark) = closing[at], last_mark
             after = stop
@@ -373,13 +411,15 @@ def _cuts(text: str, start: int, end: int, events: list[tuple[int, int, str]], l
         while after < end and text[after] in _CLOSERS and after not in matched:
             after += 1
         last_mark = (m_at, m_stop, mark)
-        if _final(text, m_at, m_stop, mark, after, low, end, latin, model, quoted_from):
+        if mark == "." and m_at != before[0]:
+            before = (m_at, token_start(text, m_at, start, before))
+        if _final(text, m_at, m_stop, mark, after, low, end, local, model, quoted_from, before[1]):
             cuts.append(after)
             low = after
     return cuts
 
 
-def _final(text: str, at: int, stop: int, mark: str, after: int, low: int, end: int, latin: str, model: dict[str, Language], quoted_from: int | None) -> bool:
+def _final(text: str, at: int, stop: int, mark: str, after: int, low: int, end: int, local: dict[str, str], model: Model, quoted_from: int | None, token: int) -> bool:
     own = mark[-1] in _OWN_STOPS
     if quoted_from is not None:
         kind, word = following(text, after, end)
@@ -392,7 +432,7 @@ def _final(text: str, at: int, stop: int, mark: str, after: int, low: int, end:
     if own:
         return True
     if mark == ".":
-        return ends_here(text, at, after, low, end, latin, model)
+        return ends_here(text, max(token, low), at, after, end, local, model)
     kind, word = following(text, after, end)
     if "!" in mark or "?" in mark:
         return kind not in "lp"
@@ -409,7 +449,7 @@ def _add(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         out.append((start, end))
 
 
-def _classify(model: dict[str, Language]):
+def _classify(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, first, last = [], [], []
@@ -421,17 +461,18 @@ def _classify(model: dict[str, Language]):
     return run
 
 
-def sentences(texts: DataFrame, unit: str = "id", text: str = "text", model: dict[str, Language] | None = None) -> DataFrame:
+def sentences(texts: DataFrame, unit: str = "id", text: str = "text", lang: str | None = None, model: Model | None = None) -> DataFrame:
     """(id, sent_start, sent_end) of each sentence; offsets in code points of the text as stored.
 
     Null and empty texts, and texts without a letter or digit, have no rows; equal rows count once. The model is
-    learned from the same texts if none is given. Each text is one sentence at least, however long.
+    learned from the same texts if none is given; lang names a column with the language that a text states, which may be
+    null or wrong. Each text is one sentence at least, however long.
     """
-    rows = texts.select(F.col(unit).cast("bigint").alias("id"), F.col(text).alias("text"))
-    model = learn(rows) if model is None else model
-    return rows.filter("text <> ''").mapInArrow(_classify(model), "id bigint, sent_start bigint, sent_end bigint").distinct()
+    rows = texts.select(F.col(unit).cast("bigint").alias("id"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
+    model = learn(rows, lang="lang" if lang else None) if model is None else model
+    return rows.filter("text <> ''").select("id", "text").mapInArrow(_classify(model), "id bigint, sent_start bigint, sent_end bigint").distinct()
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """p2_found: the sentences of all in_plain_text.text."""
-    return sentences(table(spark, folder, "in_plain_text"))
+    return sentences(table(spark, folder, "in_plain_text"), lang="lang")

@@ -1,6 +1,6 @@
 import random
 
-from loomspar.llm import leaks, subjects
+from loomspar.llm import leaks, sentences, subjects
 
 ITEM = "The score sheet near Krasild was handed by Lutuld to the Skazister board in 1947."
 TEN = "score sheet near Krasild was handed by Lutuld to the"
@@ -60,7 +60,7 @@ def test_empty_tables(spark):
 
 def shares(spark, texts):
     d = spark.createDataFrame([(n, t, "x", 1) for n, t in enumerate(texts)], "doc_id bigint, text string, subject string, term int")
-    return {(r["doc_id"], r["subject"]): round(r["share"], 3) for r in subjects.subject_shares(d, subjects.load_terms(), {}).collect()}
+    return {(r["doc_id"], r["subject"]): round(r["share"], 3) for r in subjects.subject_shares(d, subjects.load_terms(), sentences.Model()).collect()}
 
 
 def test_subjects(spark):

@@ -51,7 +51,7 @@ def test_empty_table_and_repeated_rows(spark):
 
 
 def test_very_long_texts():
-    model = {}
+    model = sentences.Model()
     assert sentences.spans("word " * 200_000, model) == [(0, 999_999)]
     assert len(sentences.spans("(" * 20_000 + 'a "b. C. ' * 20_000, model)) >= 1
     assert len(sentences.spans("Yes! " * 100_000, model)) == 100_000
@@ -62,8 +62,33 @@ def test_spans_cover_text():
     for _ in range(300):
         text = "".join(rng.choice('ab AB.!?"“”()«»\n。「」1 …กข') for _ in range(rng.randint(0, 60)))
         at = 0
-        for a, b in sentences.spans(text, {}):
+        for a, b in sentences.spans(text, sentences.Model()):
             assert at <= a < b <= len(text) and not text[a:b][0].isspace() and not text[a:b][-1].isspace()
             assert not any(c.isalnum() for c in text[at:a])
             at = b
         assert not any(c.isalnum() for c in text[at:])
+
+
+def test_many_open_quotations():
+    # a closing mark is matched however many other marks are open, and brackets in it don't end sentences
+    text = "He said: “" + "( " * 60 + "One. Two.” and left. Yes."
+    assert [text[a:b] for a, b in sentences.spans(text, sentences.Model())][-1] == "Yes."
+    assert len(sentences.spans(text, sentences.Model())) == 2
+
+
+def test_long_abbreviations_and_blanks():
+    long = "a" * 50
+    model = sentences.Model({"und": sentences.Language({long: (False, False), "b": (True, False)})})
+    spans = lambda t: [t[a:b] for a, b in sentences.spans(t, model)]
+    assert spans(f"The {long}. Thing went. On") == [f"The {long}. Thing went.", "On"]
+    assert spans(f"The x{long}. Thing went. On") == [f"The x{long}.", "Thing went.", "On"]
+    quoted = "“Is it?" + " " * 40 + "” Yes."
+    assert spans(quoted) == [quoted[:-5], "Yes."]
+    assert len(sentences.spans("a." * 200_000 + " B", model)) >= 1
+
+
+def test_languages_are_learned(spark):
+    rows = [(n, t, lang) for n, (t, lang) in enumerate([("the cat and the dog in the house", "en"), ("der Hund und die Katze in dem Haus", "DE-de"), ("в доме и на улице", "ru"), ("и на улице", None)] * 30)]
+    model = sentences.learn_words(spark.createDataFrame(rows, "id bigint, text string, lang string"), "text", "lang")
+    assert [model.local(t) for t in ("The house and dog", "Das Haus und der Weg", "на доме", "xyz")] == [{"latin": "en"}, {"latin": "de"}, {"cyrillic": "ru"}, {}]
+    assert model.of_token("Дом", {"latin": "en"}) == "ru" and model.of_token("Haus", {"latin": "de"}) == "de" and model.of_token("Haus", {}) == "und" and model.of_token("家", {"latin": "de"}) == "cjk"
