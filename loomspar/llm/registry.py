@@ -18,6 +18,7 @@ QUERIES = {
     "p7_found": leaks.found,
     "p7_leaks": leaks.leaks,
     "p8_found": subjects.found,
+    "p8_quality": subjects.quality,
 }
 
 ORACLE_SQL = {name: text for name, text in sql.TEXTS.items() if name in QUERIES}

@@ -72,7 +72,7 @@ def test_subjects(spark):
     assert got[0, "sport"] == 0.333 and got[1, "medicine"] == 0.5 and got[1, "engineering"] == 0.5 and got[5, "sport"] == 0.5 and got[6, "sport"] == 0.5 and got[8, "sport"] == 1.0
     assert not {k for k in got if k[0] in (2, 3, 4, 9)}
     assert got[7, "law"] == 1.0
-    assigned = subjects.assign(spark.createDataFrame([(1, "law", 1 / 3), (2, "law", 0.32)], "doc_id bigint, subject string, share double"), {})
+    assigned = subjects.assign(spark.createDataFrame([(1, "law", 1 / 3), (2, "law", 0.32)], "doc_id bigint, subject string, share double"))
     assert [tuple(r) for r in assigned.collect()] == [(1, "law")]
 
 
@@ -93,3 +93,14 @@ def test_labels_do_not_move_the_third(spark, tmp_path):
     save([("law", "Law", "")], "subject string, title string, scope_note string", "subjects")
     save([(n, "law", "x") for n in range(600)], "doc_id bigint, subject string, annotator string", "subject_labels")
     assert {r["doc_id"] for r in subjects.found(spark, str(tmp_path)).collect()} == set(range(300))
+
+
+def test_unreliable_terms_need_company(spark):
+    # "orbit" stands in many documents that are labelled otherwise, and is frequent
+    texts = ["The orbit was wide. The jury met. The jury met."] * 40 + ["The orbit was wide."] * 3 + ["The orbit of the comet tail was wide."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    terms = [("orbit", "science", 1.0), ("comet tail", "science", 1.0), ("jury", "law", 1.0), ("orbit", "law", 0.2)]
+    labels = spark.createDataFrame([(n, " LAW") for n in range(40)] + [(None, "law"), (1, None)], "doc_id bigint, subject string")
+    plain = {(r["doc_id"], r["subject"]) for r in subjects.subject_shares(d, terms, sentences.Model()).collect()}
+    learned = {(r["doc_id"], r["subject"]) for r in subjects.subject_shares(d, terms, sentences.Model(), labels).collect()}
+    assert (40, "science") in plain and (40, "science") not in learned and (43, "science") in learned and (0, "law") in learned
