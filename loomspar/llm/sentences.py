@@ -81,14 +81,28 @@ class Model:
     by_script: dict[str, str] = field(default_factory=dict)
     _longest: int = -1
 
-    def local(self, text: str) -> dict[str, str]:
-        """By script, the language that the words of a text speak for most; scripts without a known word are missing."""
-        votes: dict[str, float] = {}
+    def votes(self, text: str) -> dict[str, float]:
+        """What the words of a text say for each language."""
+        out: dict[str, float] = {}
         for w in _WORD.findall(text.lower()):
             for k, weight in self.words.get(w, ()):
-                votes[k] = votes.get(k, 0.0) + weight
+                out[k] = out.get(k, 0.0) + weight
+        return out
+
+    def pick(self, votes: dict[str, float]) -> dict[str, str]:
+        """By script, the language with the most votes; scripts without any are missing."""
         return {self.scripts[k]: k for k in sorted(votes, key=lambda k: (votes[k], k))}
 
+    def local(self, parts: list[str]) -> list[dict[str, str]]:
+        """The languages of each part of a text; what a part doesn't say, all parts together do."""
+        votes = [self.votes(p) for p in parts]
+        total: dict[str, float] = {}
+        for v in votes:
+            for k, weight in v.items():
+                total[k] = total.get(k, 0.0) + weight
+        whole = self.pick(total)
+        return [whole | self.pick(v) for v in votes]
+
     def longest(self) -> int:
         """The length of the longest abbreviation that was learned."""
         if self._longest < 0:
@@ -219,12 +233,8 @@ def period_type(text: str, start: int, at: int) -> str:
 
 def count_text(text: str, counts: Counter, model: Model) -> None:
     """Adds the text's counts: (language, kind, type, following) with kind t type, p type with period, f followed by, s start."""
-    of_text = model.local(text)
-    for start, end, whole in segments(text):
-        if whole:
-            continue
-        part = text[start:end]
-        local = of_text | model.local(part)
+    parts = [text[start:end] for start, end, whole in segments(text) if not whole]
+    for part, local in zip(parts, model.local(parts), strict=True):
         kind, word = following(part, 0, len(part))
         if kind in "uno":
             counts[model.of_token(word, local), "s", word, ""] += 1
@@ -364,17 +374,16 @@ def ends_here(text: str, start: int, at: int, after: int, end: int, local: dict[
 def spans(text: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of each sentence of text, in order."""
     out: list[tuple[int, int]] = []
-    of_text = None
-    for start, end, whole in segments(text):
+    parts = [*segments(text)]
+    languages = iter(model.local([text[start:end] for start, end, whole in parts if not whole]))
+    for start, end, whole in parts:
         if whole:
             _add(text, start, end, out)
             continue
         cuts = []
-        part = text[start:end]
+        part, local = text[start:end], next(languages)
         events = [(m.start() + start, m.end() + start, m.group()) for m in _EVENT.finditer(part)]
         if events:
-            of_text = model.local(text) if of_text is None else of_text
-            local = of_text | model.local(part)
             cuts = _cuts(text, start, end, events, local, model)
         if _SCRIPTS[3][1].search(part):
             cuts = sorted({*cuts, *(m.start() + start for m in _THAI_GAP.finditer(part))})

@@ -90,5 +90,6 @@ def test_long_abbreviations_and_blanks():
 def test_languages_are_learned(spark):
     rows = [(n, t, lang) for n, (t, lang) in enumerate([("the cat and the dog in the house", "en"), ("der Hund und die Katze in dem Haus", "DE-de"), ("в доме и на улице", "ru"), ("и на улице", None)] * 30)]
     model = sentences.learn_words(spark.createDataFrame(rows, "id bigint, text string, lang string"), "text", "lang")
-    assert [model.local(t) for t in ("The house and dog", "Das Haus und der Weg", "на доме", "xyz")] == [{"latin": "en"}, {"latin": "de"}, {"cyrillic": "ru"}, {}]
+    assert [model.local([t])[0] for t in ("The house and dog", "Das Haus und der Weg", "на доме", "xyz")] == [{"latin": "en"}, {"latin": "de"}, {"cyrillic": "ru"}, {}]
+    assert model.local(["The house", "xyz"]) == [{"latin": "en"}] * 2
     assert model.of_token("Дом", {"latin": "en"}) == "ru" and model.of_token("Haus", {"latin": "de"}) == "de" and model.of_token("Haus", {}) == "und" and model.of_token("家", {"latin": "de"}) == "cjk"
