@@ -1,7 +1,7 @@
 import json
 import zipfile
 
-from loomspar.plans import model, pipeline
+from loomspar.plans import model, pipeline, stages
 from loomspar.sources import io
 
 
@@ -83,5 +83,28 @@ def test_pipeline(spark):
     rows = spark.createDataFrame([(1, ["Alice Moor met Bob Lane. Bob Lane called Alice Moor."]), (2, ["nothing here"])], "section_id bigint, sentences array<string>")
     nodes, relations, run = pipeline.build_graph(rows)
     assert not any(s["error"] for s in run.steps)
-    assert {r["entity_name"] for r in nodes.collect()} == {"Alice Moor", "Bob Lane"} and sorted(r["relation_name"] for r in relations.collect()) == ["called", "met"]
+    assert {r["entity_name"] for r in nodes.collect()} == {"Alice Moor", "Bob Lane"} and sorted((r["relation_name"], r["canonical_rel_name"], r["rel_cls"]) for r in relations.collect()) == [("called", "called", "Called"), ("met", "met", "Met")]
+    assert all(r["class_label"] for r in nodes.collect())
     assert pipeline.iterate(0, lambda s: s + 1, lambda s: 0)[1] == 3
+
+
+def test_entity_actions(spark):
+    rows = [(1, i, n, "", "t", c, [k], [i]) for k, (i, n, c) in enumerate([("a", "Pump", 0.2), ("b", "pumps", 0.9), ("c", "Valve", 0.5), ("d", "Gate", 0.5)])]
+    entities = spark.createDataFrame(rows, "section_id int, id string, name string, description string, hint string, confidence double, chunks array<int>, merged_from array<string>")
+    answer = json.dumps([{"action": "MergeEntities", "entity_ids": ["a", "b", "zz"], "canonical_name": "Pump"}, {"action": "ModifyEntity", "entity_id": "c", "new_name": "Control Valve"}, {"action": "KeepEntity", "entity_id": "d"}, {"action": "Other"}])
+    answers = spark.createDataFrame([((1, 0, 0), ["a", "b", "c", "d"], f"Here: {answer}")], "key struct<section_id:int,cluster:int,bucket:int>, ids array<string>, answer string")
+    out = {r["name"]: r for r in stages.apply_entity_actions(entities, stages.entity_actions(answers)).collect()}
+    assert set(out) == {"Pump", "Control Valve", "Gate"} and out["Pump"]["merged_from"] == ["a", "b"] and out["Pump"]["confidence"] == 0.9 and out["Pump"]["chunks"] == [0, 1] and out["Pump"]["merges"] == 1
+
+
+class Stubborn(model.RuleClient):
+    deterministic = False
+
+
+def test_rounds_end_after_three_without_change(spark):
+    rows = spark.createDataFrame([(1, "r1", "runs at", "TBD", "TBD", "TBD", []), (1, "r2", "Runs at", "TBD", "TBD", "TBD", [])], "section_id int, id string, relation_name string, canonical_rel_name string, rel_cls string, rel_cls_group string, remarks array<string>")
+    out, n = stages.relation_rounds(rows, Stubborn)
+    assert n == 4 and {r["canonical_rel_name"] for r in out.collect()} == {"runAt"}
+    classes = spark.createDataFrame([(1, "c1", "Pump", "", "TBD", 0.5, ["a"]), (1, "c2", "pumps", "", "TBD", 0.7, ["b"]), (2, "c3", "Pump", "", "TBD", 0.5, ["c"])], "section_id bigint, class_id string, label string, description string, class_group string, confidence double, members array<string>")
+    out, n = stages.class_rounds(classes)
+    assert n == 2 and sorted(len(r["members"]) for r in out.collect()) == [1, 2]
