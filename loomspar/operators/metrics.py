@@ -92,12 +92,13 @@ def average_precision(pairs: DataFrame) -> DataFrame:
 def judge_statistics(judgements: DataFrame) -> DataFrame:
     """Counts of judgements, and confidences: least, upper middle, nine tenths, greatest; one row."""
     shares = [F.sum(F.when(F.col("judgement") == j, 1).otherwise(0)).alias(j.lower()) for j in JUDGEMENTS]
-    # ranks among distinct confidences with their counts: no list of all values is gathered
-    each = judgements.filter("confidence is not null").groupBy("confidence").agg(F.count("*").alias("k"))
-    upto = each.withColumn("upto", F.sum("k").over(Window.orderBy("confidence").rowsBetween(Window.unboundedPreceding, 0)))  # distinct rounded confidences
-    total = each.agg(F.sum("k")).scalar()
-    at = upto.select("confidence", "upto", F.floor(total / 2).alias("middle"), F.floor(0.9 * (total - 1)).alias("ninth"))
-    picked = at.agg(F.min("confidence").alias("confidence_min"), F.min(F.when(F.col("upto") > F.col("middle"), F.col("confidence"))).alias("confidence_p50"), F.min(F.when(F.col("upto") > F.col("ninth"), F.col("confidence"))).alias("confidence_p90"), F.max("confidence").alias("confidence_max"))
+    # ranks among distinct confidences with their counts, summed up by ranges: no list of all values is gathered
+    curve = cut(precision_recall(judgements.filter("confidence is not null").select(F.col("confidence").alias("score"), F.lit(0).alias("positive"))))
+    total = curve.agg(F.max("n")).scalar()
+    # n counts from the highest down: a value stands before all that are lower
+    below = total - F.col("n")
+    at = curve.select(F.col("score").alias("confidence"), below.alias("below"), F.floor(total / 2).alias("middle"), F.floor(0.9 * (total - 1)).alias("ninth"))
+    picked = at.agg(F.min("confidence").alias("confidence_min"), F.max(F.when(F.col("below") <= F.col("middle"), F.col("confidence"))).alias("confidence_p50"), F.max(F.when(F.col("below") <= F.col("ninth"), F.col("confidence"))).alias("confidence_p90"), F.max("confidence").alias("confidence_max"))
     return judgements.agg(F.count("*").alias("n"), *shares).join(F.broadcast(picked))
 
 
@@ -159,6 +160,19 @@ def method_statistics(rows: DataFrame, method: str, metrics: list[str]) -> DataF
     return long.groupBy(method, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.when(F.count("value") > 0, F.coalesce(F.stddev_samp("value"), F.lit(0.0))).alias("std"))
 
 
+def shown(mean: Column, std: Column, digits: int = 3) -> Column:
+    """``m ± s`` as tables show it, a dash where there is no value."""
+    return F.when(mean.isNull(), "—").otherwise(F.format_string(f"%.{digits}f ± %.{digits}f", mean, F.coalesce(std, F.lit(0.0))))
+
+
+def report_table(statistics: DataFrame, method: str, metrics: tuple[str, ...]) -> DataFrame:
+    """(method, cells, latex): a row for each method with ``m ± s`` of each metric in the order given, also as a row of LaTeX."""
+    cells = statistics.groupBy(method).agg(*(F.max(F.when(F.col("metric") == m, shown(F.col("mean"), F.col("std")))).alias(m) for m in metrics))
+    rows = cells.select(method, F.array(*(F.coalesce(m, F.lit("—")) for m in metrics)).alias("cells"))
+    name = F.regexp_replace(F.coalesce(method, F.lit("")), r"([_&%#])", r"\\$1")
+    return rows.withColumn("latex", F.concat(F.concat_ws(" & ", name, *(F.replace(F.get("cells", F.lit(n)), F.lit("±"), F.lit("$\\pm$")) for n in range(len(metrics)))), F.lit(" \\\\")))
+
+
 def rank_methods(statistics: DataFrame, method: str, lower_is_better: tuple[str, ...] = (), near_one: tuple[str, ...] = ()) -> DataFrame:
     """Rank of each method by mean in each metric, 1 the best; ties go by name. Also the mean scaled to 0..1 within the metric."""
     value = F.when(F.col("metric").isin(*near_one), F.abs(F.col("mean") - 1)).when(F.col("metric").isin(*lower_is_better), F.col("mean")).otherwise(-F.col("mean"))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspar.functions import text as T
-from loomspar.operators import chunk, normalise, records
+from loomspar.operators import chunk, cluster, metrics, normalise, records, resolve, schema_view
 from loomspar.plans.base import GRAPHS, NODES, RELS, Registry, current_nodes, current_rels, graph_edges, graph_entities
+from loomspar.plans.eval_queries import STRUCTURE, structure
 from loomspar.plans.record_queries import ENDS, PROPS, safe
-from loomspar.runtime import table
+from loomspar.runtime import cut, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -268,3 +269,66 @@ def p23_graph_lists(spark: SparkSession, folder: str) -> DataFrame:
     line = F.concat_ws(">", *(F.coalesce(c, F.lit("")) for c in ("source", "relation", "target")))
     lists = triples.groupBy("graph_id").agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("l")))), lambda x: x["l"])).alias("relations"), joined(F.array_sort(F.collect_set("relation"))).alias("edges"))
     return lists.join(names.groupBy("graph_id").agg(joined(F.array_sort(F.collect_list("node"))).alias("entities")), "graph_id", "left").select("graph_id", "entities", "relations", "edges")
+
+
+@query(f"""with {NODES}, rows as (select lower({safe("entity_name")}) as canonical_id, entity_id, {PROPS} as p from nodes where {safe("entity_name")} <> ''),
+props as (select canonical_id, x.prop_name as k, x.prop_value as v, min((entity_id, i)) as first from (select canonical_id, entity_id, unnest(p) as x, generate_subscripts(p, 1) as i from rows) group by all)
+select canonical_id, string_agg(distinct entity_id, ',' order by entity_id) as merged_from, coalesce((select string_agg(k || '=' || coalesce(v, ''), '|' order by first) from props where props.canonical_id = rows.canonical_id), '') as properties from rows group by canonical_id""")
+def a02_merged_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """What entities of equal name were merged from, and their properties, each once."""
+    rows = current_nodes(spark, folder).filter(T.safe_text("entity_name") != "").select(
+        F.lower(T.safe_text("entity_name")).alias("canonical_id"), F.col("entity_id").alias("id"), F.col("entity_id").alias("seq"), T.safe_text("entity_name").alias("name"), T.to_double("entity_confidence").alias("confidence"), F.from_json("node_properties", normalise.PROPERTY).alias("properties")
+    )
+    shown = F.transform("properties", lambda p: F.concat(p["prop_name"], F.lit("="), F.coalesce(p["prop_value"], F.lit(""))))
+    return resolve.merge_entities(rows).select("canonical_id", joined("merged_from", ",").alias("merged_from"), F.coalesce(joined(shown), F.lit("")).alias("properties"))
+
+
+@query(f"""with {NODES}, e as (select coalesce(nullif({safe("class_group")}, ''), 'TBD') as class_group, coalesce(nullif({safe("class_label")}, ''), 'TBD') as class_label, entity_id, coalesce(entity_name, '') as n from nodes)
+select class_group, class_label, count(*) as entities, string_agg(entity_id || '/' || n, ',' order by entity_id) as members from e group by all""")
+def a12_entity_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The tree of entities with ids and names."""
+    rows = current_nodes(spark, folder).select(schema_view.filled("class_group").alias("class_group"), schema_view.filled("class_label").alias("class_label"), F.struct("entity_id", F.coalesce("entity_name", F.lit("")).alias("n")).alias("e"))
+    each = rows.groupBy("class_group", "class_label").agg(F.count("*").alias("entities"), F.array_sort(F.collect_list("e")).alias("m"))
+    return each.select("class_group", "class_label", "entities", joined(F.transform("m", lambda x: F.concat(x["entity_id"], F.lit("/"), x["n"])), ",").alias("members"))
+
+
+@query(f"""with c as (select seq, lower({safe("canonical_rel_name")}) as label_key, lower({safe("rel_hint_type")}) as hint_key, start_id from kg_rels where start_id is not null)
+select label_key, hint_key, string_agg(start_id, ',' order by first, start_id) as members from (select label_key, hint_key, start_id, min(seq) as first from c group by all) group by all""")
+def a03_class_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Members of merged classes, each where it came first."""
+    rows = table(spark, folder, "kg_rels").filter("start_id is not null").groupBy(F.lower(T.safe_text("canonical_rel_name")).alias("label_key"), F.lower(T.safe_text("rel_hint_type")).alias("hint_key"), "start_id").agg(F.min("seq").alias("seq"))
+    members = F.transform(F.array_sort(F.collect_list(F.struct("seq", "start_id"))), lambda x: x["start_id"])
+    return rows.groupBy("label_key", "hint_key").agg(joined(members, ",").alias("members"))
+
+
+@query(f"""with {NODES}, pool as (select entity_id from nodes where entity_confidence is null or try_cast(trim(entity_confidence) as double) < 0.5 union select entity_id from nodes where entity_flag = 'entity_raw'),
+taken as (select entity_id from nodes where class_label is not null and trim(class_label) <> '' and upper(trim(class_label)) <> 'TBD') select entity_id from pool where entity_id not in (select entity_id from taken)""")
+def j11_unassigned_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities that are noise (a low confidence stands for it) or were seen, less those that a class has."""
+    nodes = current_nodes(spark, folder)
+    confidence = T.to_double("entity_confidence")
+    noise, seen = nodes.filter(F.col("entity_confidence").isNull() | (confidence < 0.5)).select("entity_id"), nodes.filter("entity_flag = 'entity_raw'").select("entity_id")
+    return noise.union(seen).distinct().join(nodes.filter(records.is_set("class_label")).select("entity_id"), "entity_id", "left_anti")
+
+
+@query(f"with recursive {STRUCTURE} select method, array_to_string([max(case when metric = 'avg_degree' then c end), max(case when metric = 'connectivity' then c end), max(case when metric = 'clustering' then c end)], '|') as cells from (select method, metric, printf('%.2f', mean) || ' ± ' || printf('%.2f', std) as c from stats) group by method")
+def r07_report_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Methods with mean and deviation of their metrics as text."""
+    wanted = ("avg_degree", "connectivity", "clustering")
+    statistics = metrics.method_statistics(structure(spark, folder), "method", list(wanted))
+    rows = statistics.groupBy("method").agg(*(F.max(F.when(F.col("metric") == m, metrics.shown(F.col("mean"), F.col("std"), 2))).alias(m) for m in wanted))
+    return rows.select("method", joined(F.array(*wanted)).alias("cells"))
+
+
+@query()
+def c03_recluster(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of more than 30 members within each label, clustered again (no SQL: hierarchy)."""
+    rows = table(spark, folder, "embeddings").select(F.col("label").alias("group_id"), F.col("vec_id").alias("id"), "embedding")
+    return cluster.recluster(rows, cut(cluster.cluster(rows)))
+
+
+@query()
+def c06_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
+    """How the clustering of each label came out (no SQL: hierarchy)."""
+    rows = table(spark, folder, "embeddings").select(F.col("label").alias("group_id"), F.col("vec_id").alias("id"), "embedding")
+    return cluster.diagnose(cut(cluster.cluster(rows, least=3))).withColumn("largest", joined(F.transform("largest", lambda n: n.cast("string")), ","))

@@ -13,10 +13,9 @@ import loomspar
 # Executors need no copy of this package: functions sent to Python workers carry their code with them.
 cloudpickle.register_pickle_by_value(loomspar)
 
-#: A key holding more than this share of the rows of a fact table is spread over SALTS sub-keys.
-#: At most 1 / HOT_SHARE keys can exceed it, which bounds the list that is broadcast.
+#: A key holding more than this share of the rows of a fact table is spread over sub-keys of about that share each.
+#: At most 1 / HOT_SHARE keys can exceed it, which bounds the list that is broadcast, and the sub-keys to twice as many.
 HOT_SHARE = 0.001
-SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,20 +46,21 @@ def spread_lookup(facts: DataFrame, dictionary: DataFrame, key: str, weight: str
     """Inner join of facts with a dictionary on ``key``, safe for keys that hold a large share of the facts.
 
     ``dictionary`` has unique keys and a column ``weight``: the number of fact rows of the key. Keys above
-    HOT_SHARE of all rows (at most 1 / HOT_SHARE of them, so they may be broadcast) are split into SALTS
-    sub-keys by the hash of the fact column ``spread``; every other key is joined as it is. Null keys find nothing.
+    HOT_SHARE of all rows (at most 1 / HOT_SHARE of them, so they may be broadcast) are split into sub-keys of that
+    share by the hash of the fact column ``spread``; every other key is joined as it is. Null keys find nothing.
     """
     total = dictionary.agg(F.sum(weight))
-    hot = dictionary.filter(F.col(weight) > total.scalar() * HOT_SHARE).select(F.col(key), F.lit(True).alias("_hot"))
+    share = total.scalar() * HOT_SHARE
+    hot = dictionary.filter(F.col(weight) > share).select(F.col(key), F.ceil(F.col(weight) / share).cast("int").alias("_salts"))
     salted = (
         dictionary.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot", weight)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        .drop("_salts", weight)
     )
     return (
         facts.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int"))
+        .drop("_salts")
         .join(salted, [key, "_salt"])
         .drop("_salt")
     )

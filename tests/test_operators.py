@@ -161,11 +161,16 @@ def test_clusters():
     assert set(cluster.density_clusters(np.zeros((6, 2)))) <= {-1, 0, 1, 2}
 
 
-def test_large_groups_are_halved(spark):
+def test_recluster_and_diagnose(spark):
     rng = np.random.default_rng(1)
-    rows = spark.createDataFrame([(0, n, [float(x) for x in rng.normal(size=4)]) for n in range(120)] + [(1, 500 + n, [1.0] * 4) for n in range(70)], "g int, id bigint, embedding array<double>")
-    parts = cluster.halve(rows, "g", 50).groupBy("g", "part").count().collect()
-    assert max(r["count"] for r in parts) <= 50 and sum(r["count"] for r in parts) == 190
+    centres = [(0, 0), (0.5, 0), (9, 9)]
+    rows = spark.createDataFrame([(0, k * 100 + n, [float(x) for x in rng.normal(c, 0.02)]) for k, c in enumerate(centres) for n in range(20)], "g int, id bigint, embedding array<double>")
+    found = spark.createDataFrame([(0, k * 100 + n, 0 if k < 2 else 1) for k in range(3) for n in range(20)] + [(0, 999, -1)], "g int, id bigint, cluster int")
+    out = {r["id"]: r for r in cluster.recluster(rows, found, "g", 30, 5).collect()}
+    assert len(out) == 61 and all(out[200 + n]["part"] == -1 for n in range(20))
+    assert {out[n]["part"] for n in range(20)} != {out[100 + n]["part"] for n in range(20)}
+    row = cluster.diagnose(found, "g").first()
+    assert row["clusters"] == 2 and row["largest"] == [40, 20] and abs(row["noise_share"] - 1 / 61) < 1e-9
 
 
 def test_size_does_not_change_clusters(spark):

@@ -1,8 +1,9 @@
 import json
 import zipfile
 
+from loomspar.operators import normalise
 from loomspar.plans import model, pipeline, stages
-from loomspar.sources import io
+from loomspar.sources import io, sinks
 
 
 def put(path, text):
@@ -108,3 +109,38 @@ def test_rounds_end_after_three_without_change(spark):
     classes = spark.createDataFrame([(1, "c1", "Pump", "", "TBD", 0.5, ["a"]), (1, "c2", "pumps", "", "TBD", 0.7, ["b"]), (2, "c3", "Pump", "", "TBD", 0.5, ["c"])], "section_id bigint, class_id string, label string, description string, class_group string, confidence double, members array<string>")
     out, n = stages.class_rounds(classes)
     assert n == 2 and sorted(len(r["members"]) for r in out.collect()) == [1, 2]
+
+
+def test_sinks(spark, tmp_path):
+    sinks.write_section(spark.createDataFrame([(1, 7, None, "", "body"), (2, None, " T ", "text", "x"), (3, None, "", None, None)], "seq int, id int, title string, text string, content string"), str(tmp_path / "s"))
+    assert sorted((r["title"], r["text"]) for r in spark.read.json(str(tmp_path / "s")).collect()) == [("7", "body"), ("T", "text"), ("essay_3", "")]
+    rows = [(c, n, f"n{n}", "t", "d" * 300, None, "span") for n, c in enumerate([1, -1, 0, 1])]
+    entities = spark.createDataFrame(rows, "cluster int, seq int, entity_name string, entity_type_hint string, entity_description string, resolution_context string, text_span string")
+    sinks.write_cluster_summary(entities, str(tmp_path / "c"))
+    got = {r["cluster"]: r for r in spark.read.json(str(tmp_path / "c" / "summary")).collect()}
+    assert got[1]["size"] == 2 and got[-1]["place"] == 1 and json.loads(got[1]["members"][0])["resolution_context"] == "span" and len(json.loads(got[1]["members"][1])["entity_description"]) == 243
+    candidates = spark.createDataFrame([("k1", "L", ["a", "zz"]), ("k2", "M", ["zz"])], "candidate string, class_label string, member_ids array<string>")
+    sinks.write_class_round(candidates, spark.createDataFrame([("a", "A")], "id string, entity_name string"), str(tmp_path / "r"), 0)
+    assert [(r["candidate_id"], r["n_members"], r["members"][0]["entity_name"]) for r in spark.read.json(str(tmp_path / "r" / "round=0")).collect()] == [("k1", 1, "A")]
+    answers = spark.createDataFrame([("d", 1, "ok", None), ("d", 2, None, "late")], "document string, page int, answer string, error string")
+    sinks.write_page_extras(answers, str(tmp_path / "p"))
+    assert {r["page"]: r["extras_text"] for r in spark.read.json(str(tmp_path / "p" / "records")).collect()} == {1: "ok", 2: "[ERROR] page 2: late"}
+    for _ in range(2):
+        sinks.write_model_calls(answers, str(tmp_path / "calls"), "rel_rec")
+    assert spark.read.json(str(tmp_path / "calls")).count() == 4
+    for name, ok in (("001", True), ("002", False)):
+        sinks.publish_run({"nodes": answers, "relations": answers}, str(tmp_path / "runs"), name, ok)
+    sinks.publish_run({"nodes": answers}, str(tmp_path / "runs"), "003", True)
+    assert sinks.snapshots(spark, str(tmp_path / "runs")) == ["001", "002_FAILED"] and sinks.snapshots(spark, str(tmp_path / "none")) == []
+    put(tmp_path / "e" / "summary.csv", "split,x\nall,1\n")
+    bundle = sinks.read_evaluation(spark, str(tmp_path / "e"))
+    assert bundle["summary"].first()["split"] == "all" and bundle["by_concept"] is None
+
+
+def test_graph_under_other_names(spark):
+    relation = spark.createDataFrame([("r", "a", "b", "rel", None, "role", None)], "rid string, subject string, object string, rel_name string, canonical string, rel_group string, qualifier string")
+    assert normalise.relation_records(relation).first()["canonical_rel_name"] == "rel" and normalise.export_relations(relation).columns == list(io.RELATION_COLUMNS)
+    given = spark.createDataFrame([("r", "a", "b", {"subject_class_label": None})], "relation_id string, start_id string, end_id string, given map<string,string>")
+    nodes = spark.createDataFrame([("a", "A", "C", "G"), ("b", "B", "D", "H")], "entity_id string, entity_name string, class_label string, class_group string")
+    row = normalise.with_missing_ends(given, nodes).first()
+    assert row["subject_class_label"] is None and row["object_class_label"] == "D" and row["subject_entity_name"] == "A"
