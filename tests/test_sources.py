@@ -132,6 +132,7 @@ def test_sinks(spark, tmp_path):
         sinks.publish_run({"nodes": answers, "relations": answers}, str(tmp_path / "runs"), name, ok)
     sinks.publish_run({"nodes": answers}, str(tmp_path / "runs"), "003", True)
     assert sinks.snapshots(spark, str(tmp_path / "runs")) == ["001", "002_FAILED"] and sinks.snapshots(spark, str(tmp_path / "none")) == []
+    (tmp_path / "e").mkdir()
     put(tmp_path / "e" / "summary.csv", "split,x\nall,1\n")
     bundle = sinks.read_evaluation(spark, str(tmp_path / "e"))
     assert bundle["summary"].first()["split"] == "all" and bundle["by_concept"] is None
