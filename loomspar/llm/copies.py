@@ -54,16 +54,25 @@ def copies(tuples: DataFrame, unit: str = "id") -> DataFrame:
     return found.filter(F.col(unit) > F.col("kept_id")).select("kept_id", F.col(unit).alias("copy_id")).distinct()
 
 
+def counts(tuples: DataFrame, unit: str = "id") -> DataFrame:
+    """(kept_id, n): the smallest id of each ``key`` and how many records have it, itself counted."""
+    return tuples.groupBy("key").agg(F.min(unit).alias("kept_id"), F.count("*").alias("n")).select("kept_id", "n")
+
+
 def record_copies(records: DataFrame, unit: str, fields: tuple[str, ...]) -> DataFrame:
-    """(kept_id, copy_id) of records that are equal in all fields but for case, punctuation and whitespace.
+    """(kept_id, copy_id) of records that are equal by ``record_keys``."""
+    return copies(record_keys(records, unit, fields))
+
+
+def record_keys(records: DataFrame, unit: str, fields: tuple[str, ...]) -> DataFrame:
+    """(id, key) of records; those are equal that are so in all fields but for case, punctuation and whitespace.
 
     A record with a null field is no record. Empty values, and values without letters or digits, equal one another.
     """
     whole = records.dropna(subset=[unit, *fields]).select(F.col(unit).alias("id"), *fields)
     cells = whole.select("id", F.posexplode(F.array(*(F.col(f).cast("string") for f in fields))).alias("field", "value"))
     coded = spread_lookup(cells, encode(cells), "value", "n", "id")
-    tuples = coded.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("field", "code"))).alias("key"))
-    return copies(tuples)
+    return coded.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("field", "code"))).alias("key"))
 
 
 def payload_fields(payload: Column, fields: tuple[str, ...] = FIELDS) -> list[Column]:
@@ -79,7 +88,12 @@ def payload_fields(payload: Column, fields: tuple[str, ...] = FIELDS) -> list[Co
 
 
 def graph_copies(graphs: DataFrame, unit: str, entities: str, relations: str) -> DataFrame:
-    """(kept_id, copy_id) of graphs with equal sets of entities and of relations but for formatting.
+    """(kept_id, copy_id) of graphs that are equal by ``graph_keys``."""
+    return copies(graph_keys(graphs, unit, entities, relations))
+
+
+def graph_keys(graphs: DataFrame, unit: str, entities: str, relations: str) -> DataFrame:
+    """(id, key) of graphs; those are equal that have equal sets of entities and of relations but for formatting.
 
     Elements of relations that don't have three parts are no relations and are left out; repeated elements count
     once; a null list is an empty one. Null entities, and relations with a null part, are left out as well.
@@ -95,12 +109,21 @@ def graph_copies(graphs: DataFrame, unit: str, entities: str, relations: str) ->
     sets = items.select("id", F.when(F.col("relation") < 0, F.transform("item", lambda x: F.array(x["code"]))).otherwise(F.array(F.transform("item", lambda x: x["code"]))).alias("items"))
     keys = sets.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("key"))
     empty = graphs.select("id").join(keys, "id", "left_anti").select("id", F.array().cast("array<array<bigint>>").alias("key"))
-    return copies(keys.unionByName(empty))
+    return keys.unionByName(empty)
+
+
+def _keys(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    raw = table(spark, folder, "raw_relations").select("record_id", *payload_fields(F.col("payload")))
+    return {"relation": record_keys(raw, "record_id", FIELDS), "graph": graph_keys(table(spark, folder, "baseline_kg"), "graph_id", "entities", "relations")}
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """p5_found: copies of relation records and of whole graphs."""
-    raw = table(spark, folder, "raw_relations").select("record_id", *payload_fields(F.col("payload")))
-    relations = record_copies(raw, "record_id", FIELDS)
-    graphs = graph_copies(table(spark, folder, "baseline_kg"), "graph_id", "entities", "relations")
-    return relations.select(F.lit("relation").alias("kind"), "kept_id", "copy_id").unionByName(graphs.select(F.lit("graph").alias("kind"), "kept_id", "copy_id"))
+    relations, graphs = (copies(k).select(F.lit(kind).alias("kind"), "kept_id", "copy_id") for kind, k in _keys(spark, folder).items())
+    return relations.unionByName(graphs)
+
+
+def counted(spark: SparkSession, folder: str) -> DataFrame:
+    """p5_counts: one of each relation record and graph with the number of its copies, itself counted."""
+    relations, graphs = (counts(k).select(F.lit(kind).alias("kind"), "kept_id", "n") for kind, k in _keys(spark, folder).items())
+    return relations.unionByName(graphs)

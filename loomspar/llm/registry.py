@@ -13,6 +13,7 @@ QUERIES = {
     "p4_pieces": pieces.pieces,
     "p4_cover": pieces.cover,
     "p5_found": copies.found,
+    "p5_counts": copies.counted,
     "p6_sequences": packing.sequences,
     "p6_long_sequences": packing.long_sequences,
     "p7_found": leaks.found,

@@ -33,6 +33,13 @@ union all
 select 'graph' as kind, kept_id, copy_id from graph_copies where kept_id < copy_id
 """
 
+TEXTS["p5_counts"] = TEXTS["p5_found"].split("), rel_copies as (")[0] + r"""
+), graph as (""" + TEXTS["p5_found"].split("), graph as (")[1].split("), graph_copies as (")[0] + r""")
+select 'relation' as kind, min(id) as kept_id, count(*) as n from rel group by h, r, t
+union all
+select 'graph' as kind, min(id) as kept_id, count(*) as n from graph group by e, r
+"""
+
 TEXTS["p4_found"] = r"""
 with limits as (
   select used_for, min(max_size) as max_size from size_limits where unit = 'characters' group by used_for
