@@ -49,6 +49,8 @@ NICKNAMES = {
 }
 _GIVEN = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()}
 
+#: Merges of a round, of two numbers each, that are broadcast; more are joined by exchange.
+BROADCAST_ROWS = 200_000
 #: Words of a name or description that a type hint weighs as.
 HINT = 2.0
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
@@ -258,19 +260,20 @@ def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select(F.least("l.pid", "r.pid").alias("a"), F.greatest("l.pid", "r.pid").alias("b")).distinct()
 
 
-def _merges(pairs: DataFrame) -> DataFrame:
-    """(pid, into): profiles that merge in this round. No profile is on both sides."""
+def _merges(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(pid, into): profiles that merge in this round, and their number. No profile is on both sides."""
     edges = pairs.filter("agree >= 0")
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree", "cost", F.col("mb").alias("ma"), F.col("ma").alias("mb"))
     both = edges.unionByName(turned)
     wider = (F.col("ma").bitwiseAND(F.bitwise_not("mb")) == 0) & ((F.col("ma") != F.col("mb")) | (F.col("b") < F.col("a")))
     parent = both.filter(wider).groupBy("a").agg(F.min(F.struct((-F.col("agree")).alias("x"), (-F.bit_count("mb")).alias("y"), "cost", "b")).alias("p")).select(F.col("a").alias("pid"), F.col("p.b").alias("into"))
     stars = cut(parent.join(parent.select(F.col("pid").alias("into")), "into", "left_anti").select("pid", "into"))
-    if not stars.isEmpty():
-        return stars
+    if n := stars.count():
+        return stars, n
     pair = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
     best = both.groupBy("a").agg(F.min(F.struct((-F.col("agree")).alias("x"), "cost", pair.alias("h"), "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-    return cut(best.alias("l").join(best.alias("r"), F.expr("l.a = r.b and l.b = r.a and l.a > r.a")).select(F.col("l.a").alias("pid"), F.col("l.b").alias("into")))
+    mutual = cut(best.alias("l").join(best.alias("r"), F.expr("l.a = r.b and l.b = r.a and l.a > r.a")).select(F.col("l.a").alias("pid"), F.col("l.b").alias("into")))
+    return mutual, mutual.count()
 
 
 def resolve(profiles: DataFrame) -> DataFrame:
@@ -284,11 +287,12 @@ def resolve(profiles: DataFrame) -> DataFrame:
     pairs = cut(_verified(_meet(keys, keys), current))
     rounds = []
     while True:
-        merges = _merges(pairs)
-        if merges.isEmpty():
+        merges, n = _merges(pairs)
+        if not n:
             break
         rounds.append(merges)
         moves = merges.unionByName(merges.select(F.col("into").alias("pid"), "into").distinct())
+        moves = F.broadcast(moves) if n <= BROADCAST_ROWS else moves  # twice as many rows at most
         moved = current.join(moves, "pid", "left")
         union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
         merged = moved.filter("into is not null").groupBy(F.col("into").alias("pid"), "kind").agg(*(union(c) for c in FIELDS)).withColumn("fresh", F.lit(True))
