@@ -27,7 +27,7 @@ def good(mode: str) -> Column:
 def per_anchor(judgements: DataFrame) -> DataFrame:
     """For each reference label: whether it is covered in each mode, and the first rank that covers it.
 
-    judgements: ref_label, trace_label, judgement, usable, rank.
+    judgements: ref_label, item_label, judgement, usable, rank.
     """
     out = [F.count("*").alias("candidates")]
     for mode in MODES:
@@ -128,25 +128,25 @@ def predicate_weights(triples: DataFrame, predicates: DataFrame) -> DataFrame:
 
 
 def best_concepts(judgements: DataFrame) -> DataFrame:
-    """(trace_label, ref_label): the usable reference concept of best judgement, then confidence, then label."""
+    """(item_label, ref_label): the usable reference concept of best judgement, then confidence, then label."""
     order = F.when(F.col("judgement") == "Equivalent", 3).when(F.col("judgement") == "Narrower", 2).when(F.col("judgement") == "Broader", 1)
     rows = judgements.filter(F.col("usable") & (F.col("judgement") != "Unrelated"))
-    return rows.groupBy("trace_label").agg(F.min(F.struct((-order).alias("p"), (-F.col("confidence")).alias("c"), "ref_label"))["ref_label"].alias("ref_label"))
+    return rows.groupBy("item_label").agg(F.min(F.struct((-order).alias("p"), (-F.col("confidence")).alias("c"), "ref_label"))["ref_label"].alias("ref_label"))
 
 
 def direction_relaxed(chosen: DataFrame, expected: DataFrame, mapped: DataFrame) -> DataFrame:
     """(label, same, inverse, any): whether the classes found at a relation's ends fit its domain and range, in either direction.
 
-    chosen: label, domains array, ranges array; expected: label, domain, range; mapped: trace_label, ref_label (any
+    chosen: label, domains array, ranges array; expected: label, domain, range; mapped: item_label, ref_label (any
     strategy). A class also fits a concept whose words are all among its own. Empty expectations fit.
     """
     rows = chosen.join(expected, "label").filter("coalesce(domain, '') <> '' or coalesce(range, '') <> ''")
-    found = rows.select("label", "domain", "range", F.explode(F.array(F.struct(F.lit("d").alias("side"), F.col("domains").alias("v")), F.struct(F.lit("r").alias("side"), F.col("ranges").alias("v")))).alias("x")).select("label", "domain", "range", "x.side", F.explode("x.v").alias("trace_label"))
-    targets = found.select("label", "side", "trace_label", F.explode(F.array(F.struct(F.lit("d").alias("of"), F.col("domain").alias("ref_label")), F.struct(F.lit("r").alias("of"), F.col("range").alias("ref_label")))).alias("t")).select("label", "side", "trace_label", "t.*")
-    by_map = mapped.select("trace_label", "ref_label").distinct().withColumn("known", F.lit(True))
+    found = rows.select("label", "domain", "range", F.explode(F.array(F.struct(F.lit("d").alias("side"), F.col("domains").alias("v")), F.struct(F.lit("r").alias("side"), F.col("ranges").alias("v")))).alias("x")).select("label", "domain", "range", "x.side", F.explode("x.v").alias("item_label"))
+    targets = found.select("label", "side", "item_label", F.explode(F.array(F.struct(F.lit("d").alias("of"), F.col("domain").alias("ref_label")), F.struct(F.lit("r").alias("of"), F.col("range").alias("ref_label")))).alias("t")).select("label", "side", "item_label", "t.*")
+    by_map = mapped.select("item_label", "ref_label").distinct().withColumn("known", F.lit(True))
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: x != "")
-    within = (F.size(words(F.col("ref_label"))) > 0) & (F.size(F.array_except(words(F.col("ref_label")), words(F.col("trace_label")))) == 0)
-    fits = targets.join(by_map, ["trace_label", "ref_label"], "left").withColumn("ok", F.coalesce("known", F.lit(False)) | F.coalesce(within, F.lit(False)))
+    within = (F.size(words(F.col("ref_label"))) > 0) & (F.size(F.array_except(words(F.col("ref_label")), words(F.col("item_label")))) == 0)
+    fits = targets.join(by_map, ["item_label", "ref_label"], "left").withColumn("ok", F.coalesce("known", F.lit(False)) | F.coalesce(within, F.lit(False)))
     has = lambda side, of: F.coalesce(F.max(F.when((F.col("side") == side) & (F.col("of") == of) & F.col("ok"), 1)), F.lit(0))
     each = fits.groupBy("label").agg(*(has(s, o).alias(f"{s}{o}") for s in "dr" for o in "dr"))
     free = lambda c, side: (F.coalesce(c, F.lit(0)) == 1) | (F.coalesce(side, F.lit("")) == "")

@@ -163,16 +163,16 @@ def evaluation_relation_texts(relations: DataFrame, nodes: DataFrame) -> DataFra
 def judgements(answers: DataFrame) -> DataFrame:
     """Items of a judge's answers (key, ref_label, answer): unlabelled ones dropped, unknown grades are Unrelated, a confidence that is no number is 0.
 
-    Out: key, pos, ref_label (the answer's own before the one that was asked for), trace_label, judgement, usable, confidence, justification.
+    Out: key, pos, ref_label (the answer's own before the one that was asked for), item_label, judgement, usable, confidence, justification.
     """
-    item = "struct<trace_label:string,judgement:string,usable_as_schema:boolean,confidence:string,justification:string,note:string>"
+    item = "struct<item_label:string,judgement:string,usable_as_schema:boolean,confidence:string,justification:string,note:string>"
     parsed = answers.withColumn("a", F.from_json(T.json_object_text("answer"), f"struct<ref_label:string,items:array<{item}>>"))
     rows = parsed.select("key", F.coalesce(T.first_filled("a.ref_label"), F.col("ref_label")).alias("ref_label"), F.posexplode("a.items").alias("pos", "i"))
     grade = T.collapse("i.judgement")
     return rows.select(
-        "key", "pos", "ref_label", T.collapse(F.coalesce("i.trace_label", F.lit(""))).alias("trace_label"), F.when(grade.isin(*JUDGEMENTS), grade).otherwise("Unrelated").alias("judgement"), F.coalesce("i.usable_as_schema", F.lit(False)).alias("usable"),
+        "key", "pos", "ref_label", T.collapse(F.coalesce("i.item_label", F.lit(""))).alias("item_label"), F.when(grade.isin(*JUDGEMENTS), grade).otherwise("Unrelated").alias("judgement"), F.coalesce("i.usable_as_schema", F.lit(False)).alias("usable"),
         T.to_double("i.confidence", 0.0).alias("confidence"), F.coalesce(T.first_filled("i.justification", "i.note"), F.lit("")).alias("justification"),
-    ).filter("trace_label <> ''")
+    ).filter("item_label <> ''")
 
 
 def with_class(entities: DataFrame, classes: DataFrame) -> DataFrame:
@@ -197,9 +197,9 @@ def with_missing_ends(relations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def ranked_judgements(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Candidate pairs (ref_label, trace_label, rank) with their judgement; of several the last (greatest pos) counts, without one it is Unrelated."""
-    last = items.groupBy("ref_label", "trace_label").agg(F.max(F.struct("pos", "judgement", "confidence")).alias("j"))
-    return pairs.join(last, ["ref_label", "trace_label"], "left").select("ref_label", "trace_label", "rank", F.coalesce("j.judgement", F.lit("Unrelated")).alias("judgement"), F.coalesce("j.confidence", F.lit(0.0)).alias("confidence"))
+    """Candidate pairs (ref_label, item_label, rank) with their judgement; of several the last (greatest pos) counts, without one it is Unrelated."""
+    last = items.groupBy("ref_label", "item_label").agg(F.max(F.struct("pos", "judgement", "confidence")).alias("j"))
+    return pairs.join(last, ["ref_label", "item_label"], "left").select("ref_label", "item_label", "rank", F.coalesce("j.judgement", F.lit("Unrelated")).alias("judgement"), F.coalesce("j.confidence", F.lit(0.0)).alias("confidence"))
 
 
 def clusters(rows: DataFrame, label: str, seq: str, member: str, noise: bool = True) -> DataFrame:

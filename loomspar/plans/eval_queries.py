@@ -19,11 +19,11 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 JUDGED = f"""pairs as (
-  select trim(class_label) as ref_label, lower(trim(entity_type_hint)) as trace_label, count(*) as n, round(sum(cast(round(coalesce(try_cast(trim(entity_confidence) as double), 0) * 100) as bigint)) / count(*) / 100, 6) as confidence
+  select trim(class_label) as ref_label, lower(trim(entity_type_hint)) as item_label, count(*) as n, round(sum(cast(round(coalesce(try_cast(trim(entity_confidence) as double), 0) * 100) as bigint)) / count(*) / 100, 6) as confidence
   from nodes where coalesce(trim(class_label), '') not in ('', 'TBD') and coalesce(trim(entity_type_hint), '') <> '' group by all
 ), judged as (
-  select *, judgement <> 'Unrelated' as usable, cast(row_number() over (partition by ref_label order by n desc, trace_label) as int) as rank from (
-    select *, case when lower(ref_label) = trace_label then 'Equivalent' when contains(trace_label, lower(ref_label)) then 'Narrower' when contains(lower(ref_label), trace_label) then 'Broader' else 'Unrelated' end as judgement from pairs)
+  select *, judgement <> 'Unrelated' as usable, cast(row_number() over (partition by ref_label order by n desc, item_label) as int) as rank from (
+    select *, case when lower(ref_label) = item_label then 'Equivalent' when contains(item_label, lower(ref_label)) then 'Narrower' when contains(lower(ref_label), item_label) then 'Broader' else 'Unrelated' end as judgement from pairs)
 ), weights as (select l.label as ref_label, coalesce(w, 0) as weight from (select distinct label from ref_concepts) l left join (select ref_label, sum(n) as w from pairs group by all) on ref_label = label
 ), anchors as (
   select ref_label, count(*) as candidates, max(case when usable and judgement = 'Equivalent' then 1 else 0 end) as covered_exact, min(case when usable and judgement = 'Equivalent' then rank end) as first_rank_exact,
@@ -33,11 +33,11 @@ JUDGED = f"""pairs as (
 
 
 def judged(spark: SparkSession, folder: str) -> DataFrame:
-    rows = current_nodes(spark, folder).select(F.trim(F.coalesce("class_label", F.lit(""))).alias("ref_label"), F.lower(F.trim(F.coalesce("entity_type_hint", F.lit("")))).alias("trace_label"), T.to_double("entity_confidence", 0.0).alias("c"))
-    pairs = rows.filter((~F.col("ref_label").isin("", records.UNSET)) & (F.col("trace_label") != "")).groupBy("ref_label", "trace_label").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("c") * 100).cast("bigint")) / F.count("*") / 100, 6).alias("confidence"))
+    rows = current_nodes(spark, folder).select(F.trim(F.coalesce("class_label", F.lit(""))).alias("ref_label"), F.lower(F.trim(F.coalesce("entity_type_hint", F.lit("")))).alias("item_label"), T.to_double("entity_confidence", 0.0).alias("c"))
+    pairs = rows.filter((~F.col("ref_label").isin("", records.UNSET)) & (F.col("item_label") != "")).groupBy("ref_label", "item_label").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("c") * 100).cast("bigint")) / F.count("*") / 100, 6).alias("confidence"))
     low = F.lower("ref_label")
-    judgement = F.when(low == F.col("trace_label"), "Equivalent").when(F.contains("trace_label", low), "Narrower").when(F.contains(low, F.col("trace_label")), "Broader").otherwise("Unrelated")
-    rank = F.row_number().over(Window.partitionBy("ref_label").orderBy(F.desc("n"), "trace_label"))
+    judgement = F.when(low == F.col("item_label"), "Equivalent").when(F.contains("item_label", low), "Narrower").when(F.contains(low, F.col("item_label")), "Broader").otherwise("Unrelated")
+    rank = F.row_number().over(Window.partitionBy("ref_label").orderBy(F.desc("n"), "item_label"))
     return pairs.withColumn("judgement", judgement).withColumns({"usable": F.col("judgement") != "Unrelated", "rank": rank})
 
 
@@ -46,9 +46,9 @@ def weights(spark: SparkSession, folder: str, pairs: DataFrame) -> DataFrame:
     return listed.join(pairs.groupBy("ref_label").agg(F.sum("n").alias("weight")), "ref_label", "left").na.fill(0, ["weight"])
 
 
-@query(f"with {NODES}, {JUDGED} select ref_label, trace_label, judgement, usable, rank, confidence from judged")
+@query(f"with {NODES}, {JUDGED} select ref_label, item_label, judgement, usable, rank, confidence from judged")
 def p18_judgements(spark: SparkSession, folder: str) -> DataFrame:
-    return judged(spark, folder).select("ref_label", "trace_label", "judgement", "usable", "rank", "confidence")
+    return judged(spark, folder).select("ref_label", "item_label", "judgement", "usable", "rank", "confidence")
 
 
 def _coverage(mode: str) -> str:
@@ -122,7 +122,7 @@ def a36_judgement_shares(spark: SparkSession, folder: str) -> DataFrame:
     return each.select("judgement", "n", F.round(F.col("n") / each.agg(F.sum("n")).scalar(), 6).alias("share"))
 
 
-@query(f"with {NODES}, {JUDGED} select trace_label, arg_min(ref_label, (case judgement when 'Equivalent' then 1 when 'Narrower' then 2 else 3 end, -confidence, ref_label)) as ref_label from judged where usable group by trace_label")
+@query(f"with {NODES}, {JUDGED} select item_label, arg_min(ref_label, (case judgement when 'Equivalent' then 1 when 'Narrower' then 2 else 3 end, -confidence, ref_label)) as ref_label from judged where usable group by item_label")
 def a32_best_concepts(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.best_concepts(judged(spark, folder))
 
@@ -165,7 +165,7 @@ def a31_direction_relaxed(spark: SparkSession, folder: str) -> DataFrame:
     rows = gold(spark, folder).join(side("start"), "start_id", "left").join(side("end"), "end_id", "left").na.fill(records.UNSET, ["start", "end"])
     chosen = rows.groupBy(F.col("predicate").alias("label")).agg(F.collect_set("start").alias("domains"), F.collect_set("end").alias("ranges"))
     expected = table(spark, folder, "ref_relations").select("label", F.col("domain_label").alias("domain"), F.col("range_label").alias("range"))
-    same = table(spark, folder, "ref_concepts").select(F.col("label").alias("trace_label"), F.col("label").alias("ref_label"))
+    same = table(spark, folder, "ref_concepts").select(F.col("label").alias("item_label"), F.col("label").alias("ref_label"))
     return metrics.direction_relaxed(chosen, expected, same)
 
 

@@ -111,14 +111,14 @@ def p13_evaluation_relations(spark: SparkSession, folder: str) -> DataFrame:
     return normalise.evaluation_relation_texts(current_rels(spark, folder), current_nodes(spark, folder))
 
 
-@query(f"""with {RELS} select relation_id, rel_hint_type as trace_label, case when rel_cls_group in ('Equivalent', 'Narrower', 'Broader', 'Unrelated') then rel_cls_group else 'Unrelated' end as judgement, coalesce(try_cast(trim(confidence) as double), 0) as confidence,
+@query(f"""with {RELS} select relation_id, rel_hint_type as item_label, case when rel_cls_group in ('Equivalent', 'Narrower', 'Broader', 'Unrelated') then rel_cls_group else 'Unrelated' end as judgement, coalesce(try_cast(trim(confidence) as double), 0) as confidence,
   coalesce(nullif(trim(justification), ''), nullif(trim(remark), ''), '') as justification from (select relation_id, regexp_replace(trim(coalesce(rel_hint_type, '')), '\\s+', ' ', 'g') as rel_hint_type, case when seq % 5 = 0 then 'Narrower' when seq % 5 = 1 then 'Equivalent' else canonical_rel_name end as rel_cls_group, confidence, justification, remark from rels) where rel_hint_type <> ''""")
 def p18_normalised_judgements(spark: SparkSession, folder: str) -> DataFrame:
     """A judge's answers as JSON, normalised: labels that aren't grades, confidences that aren't numbers and missing labels occur."""
     grade = F.when(F.col("seq") % 5 == 0, "Narrower").when(F.col("seq") % 5 == 1, "Equivalent").otherwise(F.col("canonical_rel_name"))
-    item = F.struct(F.col("rel_hint_type").alias("trace_label"), grade.alias("judgement"), "confidence", "justification", F.col("remark").alias("note"))
+    item = F.struct(F.col("rel_hint_type").alias("item_label"), grade.alias("judgement"), "confidence", "justification", F.col("remark").alias("note"))
     answers = current_rels(spark, folder).select(F.col("relation_id").alias("key"), F.lit("asked").alias("ref_label"), F.concat(F.lit("Answer: "), F.to_json(F.struct(F.array(item).alias("items"))), F.lit(" done")).alias("answer"))
-    return normalise.judgements(answers).select(F.col("key").alias("relation_id"), "trace_label", "judgement", "confidence", "justification")
+    return normalise.judgements(answers).select(F.col("key").alias("relation_id"), "item_label", "judgement", "confidence", "justification")
 
 
 @query(f"""with {RELS}, {NODES}, {ENDS}, r as (select seq, {safe("canonical_rel_name")} as name, nullif(trim(raw_relation_name), '') as surface, nullif(trim(evidence_excerpt), '') as evidence, nullif(trim(start_class), '') as d, nullif(trim(end_class), '') as g, nullif(trim(start_name || ' -> ' || end_name), '') as x from ends where {safe("canonical_rel_name")} <> ''),
@@ -179,14 +179,14 @@ def j09_missing_ends(spark: SparkSession, folder: str) -> DataFrame:
     return normalise.with_missing_ends(rows, current_nodes(spark, folder)).select("relation_id", "subject_class_label", "subject_entity_name", "object_class_group")
 
 
-@query(f"""with {RELS}, p as (select canonical_rel_name as ref_label, rel_hint_type as trace_label, min(seq) as rank from rels where canonical_rel_name is not null and rel_hint_type is not null group by all),
-i as (select canonical_rel_name as ref_label, rel_hint_type as trace_label, arg_max(rel_cls_group, seq) as judgement from rels where canonical_rel_name is not null and rel_hint_type is not null and rel_cls_group is not null and try_cast(trim(confidence) as double) >= 0.9 group by all)
-select ref_label, trace_label, rank, coalesce(judgement, 'Unrelated') as judgement from p left join i using (ref_label, trace_label)""")
+@query(f"""with {RELS}, p as (select canonical_rel_name as ref_label, rel_hint_type as item_label, min(seq) as rank from rels where canonical_rel_name is not null and rel_hint_type is not null group by all),
+i as (select canonical_rel_name as ref_label, rel_hint_type as item_label, arg_max(rel_cls_group, seq) as judgement from rels where canonical_rel_name is not null and rel_hint_type is not null and rel_cls_group is not null and try_cast(trim(confidence) as double) >= 0.9 group by all)
+select ref_label, item_label, rank, coalesce(judgement, 'Unrelated') as judgement from p left join i using (ref_label, item_label)""")
 def j20_ranked_judgements(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs with their last judgement; groups of confident relations stand for judgements."""
-    rels = current_rels(spark, folder).filter("canonical_rel_name is not null and rel_hint_type is not null").withColumnsRenamed({"canonical_rel_name": "ref_label", "rel_hint_type": "trace_label"})
-    items = rels.filter(F.col("rel_cls_group").isNotNull() & (T.to_double("confidence") >= 0.9)).select("ref_label", "trace_label", F.col("seq").alias("pos"), F.col("rel_cls_group").alias("judgement"), T.to_double("confidence").alias("confidence"))
-    return normalise.ranked_judgements(rels.groupBy("ref_label", "trace_label").agg(F.min("seq").alias("rank")), items).select("ref_label", "trace_label", "rank", "judgement")
+    rels = current_rels(spark, folder).filter("canonical_rel_name is not null and rel_hint_type is not null").withColumnsRenamed({"canonical_rel_name": "ref_label", "rel_hint_type": "item_label"})
+    items = rels.filter(F.col("rel_cls_group").isNotNull() & (T.to_double("confidence") >= 0.9)).select("ref_label", "item_label", F.col("seq").alias("pos"), F.col("rel_cls_group").alias("judgement"), T.to_double("confidence").alias("confidence"))
+    return normalise.ranked_judgements(rels.groupBy("ref_label", "item_label").agg(F.min("seq").alias("rank")), items).select("ref_label", "item_label", "rank", "judgement")
 
 
 @query("""select label, string_agg(vec_id, ',' order by vec_id) as members, count(*) as size, cast(row_number() over (order by case when label = -1 then 1 else 0 end, label) as int) as place from (select vec_id, case when label % 10 = 3 then -1 else label end as label from embeddings) group by label""")

@@ -264,7 +264,7 @@ def x13_resolve_aliases(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def x08_class_actions(spark: SparkSession, folder: str) -> DataFrame:
-    """Ordered class calls folded by essay: equal labels merged, unresolved classes renamed, the rest reassigned (no SQL: sequential)."""
+    """Ordered class calls folded by essay: equal labels merged, unresolved classes renamed (no SQL: sequential); the other calls are covered by unit tests."""
     label = F.coalesce(T.first_filled("class_label"), F.lit("TBD"))
     nodes = current_nodes(spark, folder).filter("essay_id is not null")
     classes = nodes.groupBy(F.col("essay_id").alias("doc_id"), label.alias("label"), T.safe_text("class_group").alias("class_group")).agg(F.sort_array(F.collect_set("entity_id")).alias("members"), F.max(T.to_double("entity_confidence", 0.5)).alias("confidence"))

@@ -107,7 +107,7 @@ def test_class_calls():
 
 
 def judged(spark, rows):
-    return spark.createDataFrame(rows, "ref_label string, trace_label string, judgement string, usable boolean, rank int, confidence double")
+    return spark.createDataFrame(rows, "ref_label string, item_label string, judgement string, usable boolean, rank int, confidence double")
 
 
 def test_rank_metrics(spark):
