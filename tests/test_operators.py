@@ -85,6 +85,25 @@ def test_aliases_and_streaks(spark):
     assert {r["g"]: r["streak"] for r in resolve.streaks(log, "g", "o", "c").collect()} == {1: 2, 2: 0}
 
 
+def test_alias_chains_keep_the_plan_small(spark):
+    n = 300
+    ids = spark.range(n).select(F.col("id").cast("string").alias("id"))
+    merges = spark.range(1, n).select(F.col("id").cast("string").alias("id"), (F.col("id") - 1).cast("string").alias("into"))
+    out = resolve.resolve_aliases(ids, merges)
+    assert out._jdf.queryExecution().analyzed().collectLeaves().size() <= 2 * n.bit_length()
+    assert {tuple(r) for r in out.collect()} == {(str(k), "0") for k in range(n)}
+
+
+def test_alias_cycles(spark):
+    # a cycle of two with tails, one of seven, a chain beside them, and no merges at all
+    pairs = [("a", "b"), ("b", "a"), ("t", "a"), ("u", "t"), ("v", "b"), ("x", "y"), ("y", "z")] + [(f"c{k}", f"c{(k + 1) % 7}") for k in range(7)]
+    ids = spark.createDataFrame([(i,) for i, _ in pairs] + [("z",), ("alone",), ("a",)], "id string")
+    got = sorted(tuple(r) for r in resolve.resolve_aliases(ids, spark.createDataFrame(pairs, "id string, into string")).collect())
+    stay = ["a", "a", "b", "z", "alone", *(f"c{k}" for k in range(7))]
+    assert got == sorted([(i, i) for i in stay] + [("t", "a"), ("u", "a"), ("v", "b"), ("x", "z"), ("y", "z")])
+    assert {tuple(r) for r in resolve.resolve_aliases(ids, spark.createDataFrame([], "id string, into string")).collect()} == {(i, i) for i in {r["id"] for r in ids.collect()}}
+
+
 def test_relation_merge_turns_direction(spark):
     rows = [("r1", 0, "A", "B", "n", 0.5, "{}", "x"), ("r2", 1, "B", "A", "n", 0.7, "{}", "y"), ("r3", 2, "A", "C", "n", 0.1, "{}", "")]
     rel = spark.createDataFrame(rows, "relation_id string, seq int, start_id string, end_id string, name string, confidence double, qualifiers string, remark string")
