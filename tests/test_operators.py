@@ -104,6 +104,20 @@ def test_alias_cycles(spark):
     assert {tuple(r) for r in resolve.resolve_aliases(ids, spark.createDataFrame([], "id string, into string")).collect()} == {(i, i) for i in {r["id"] for r in ids.collect()}}
 
 
+def test_groups_share_batches(spark):
+    # one call for each group would cost more than its work: many groups are in one batch, and calls go only to documents that have some
+    rows = [(g, 10 * g + n, [float(v), 1.0]) for g in range(300) for n, v in enumerate((0, 0.1, 9, 9.2, 50))] + [(900, 9000, [1.0, 2.0]), (None, 9100, [0.0, 1.0])]
+    found = cluster.cluster(spark.createDataFrame(rows, "group_id bigint, id bigint, embedding array<double>"))
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["group_id"], r["id"]): r["cluster"] for r in found.collect()}
+    assert got == {(g, i): ([0, 0, 1, 1, -1][i % 10] if g is not None and g < 300 else -1) for g, i, _ in rows}
+    classes = spark.createDataFrame([(d, f"c{n}", label, "", "TBD", None if d == 2 else 0.5, ["a", "b", "a"]) for d in (1, 2) for n, label in enumerate(("x", "y"))], "doc_id bigint, class_id string, label string, description string, class_group string, confidence double, members array<string>")
+    calls = spark.createDataFrame([(1, 1, "modify_class", '{"class_id":"c1","name":"w"}'), (1, 0, "modify_class", '{"class_id":"c1","name":"v"}'), (1, 2, "merge_classes", '{"class_ids":["c0"]}'), (3, 0, "create_class", '{"name":"new","members":["q"]}')], "doc_id bigint, seq int, name string, args string")
+    folded = resolve.fold_class_actions(classes, calls)
+    assert "InPandas" in (plan := folded._jdf.queryExecution().executedPlan().toString()) and "FlatMap" not in plan
+    assert sorted((r["doc_id"], r["label"], r["confidence"], r["members"], r["errors"]) for r in folded.collect()) == [(1, "w", 0.5, ["a", "b"], 1), (1, "x", 0.5, ["a", "b"], 1), (2, "x", None, ["a", "b"], 0), (2, "y", None, ["a", "b"], 0), (3, "new", 0.5, ["q"], 0)]
+
+
 def test_relation_merge_turns_direction(spark):
     rows = [("r1", 0, "A", "B", "n", 0.5, "{}", "x"), ("r2", 1, "B", "A", "n", 0.7, "{}", "y"), ("r3", 2, "A", "C", "n", 0.1, "{}", "")]
     rel = spark.createDataFrame(rows, "relation_id string, seq int, start_id string, end_id string, name string, confidence double, qualifiers string, remark string")
