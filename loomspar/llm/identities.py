@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations, product
 
 import numpy as np
@@ -276,6 +275,14 @@ def _merges(pairs: DataFrame) -> tuple[DataFrame, int]:
     return mutual, mutual.count()
 
 
+def followed(rounds: list[DataFrame]) -> DataFrame:
+    """(pid, into) with the end of each profile's moves, which are given by round; a profile moves in one round only. One join a round."""
+    roots = rounds[0]
+    for later in rounds[1:]:
+        roots = roots.join(later.select(F.col("pid").alias("into"), F.col("into").alias("further")), "into", "left").select("pid", F.coalesce("further", "into").alias("into")).unionByName(later)
+    return roots
+
+
 def resolve(profiles: DataFrame) -> DataFrame:
     """(pid, into) of the profiles that merged, by rounds of matching and merging until nothing merges.
 
@@ -300,16 +307,14 @@ def resolve(profiles: DataFrame) -> DataFrame:
         stale = pairs.join(moves.select(F.col("pid").alias("a"), F.col("into").alias("a_into")), "a", "left").join(moves.select(F.col("pid").alias("b"), F.col("into").alias("b_into")), "b", "left")
         again = stale.filter("a_into is not null or b_into is not null").select(F.coalesce("a_into", "a").alias("a"), F.coalesce("b_into", "b").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         content = current.select("pid", "kind", *FIELDS)
-        richer = current.filter("fresh").select("pid", "kind", *FIELDS).mapInPandas(_keys(True), _KEYED)
-        further = _meet(richer, content.mapInPandas(_keys(True), _KEYED))
+        stated = current.filter("size(years) > 0 and size(places) > 0 and (kind <> 'person' or size(jobs) > 0)")  # others have no such keys
+        richer = stated.filter("fresh").select("pid", "kind", *FIELDS).mapInPandas(_keys(True), _KEYED)
+        further = _meet(richer, stated.select("pid", "kind", *FIELDS).mapInPandas(_keys(True), _KEYED))
         pairs = cut(stale.filter("a_into is null and b_into is null").select("a", "b", "agree", "cost", "ma", "mb").unionByName(_verified(again.unionByName(further).distinct(), content)))
         current = content
     if not rounds:
         return profiles.select("pid", F.col("pid").alias("into")).limit(0)
-    roots = reduce(DataFrame.unionByName, rounds)
-    for _ in range((len(rounds) - 1).bit_length()):  # a profile moves once; follow the moves, twice as far each time
-        roots = roots.join(roots.select(F.col("pid").alias("into"), F.col("into").alias("further")), "into", "left").select("pid", F.coalesce("further", "into").alias("into"))
-    return roots
+    return followed(rounds)
 
 
 def _plain_label(c: str) -> Column:

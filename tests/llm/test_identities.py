@@ -86,3 +86,12 @@ def test_keys():
     assert not any(s == t == 0 or s & t == 0 for k, s in sides("Robert Niridal") for m, t in sides("Robert Norbital") if k == m)
     many = " ".join(f"word{c}" for c in "abcdefghij")
     assert keys(many) & keys(many.replace("worda", "worta").replace("wordb", "wordbb")) and len(keys(many * 100)) < 1000
+
+
+def test_plan_of_moves_grows_with_rounds_only(spark):
+    # 0 to 1 to 2 ... by rounds, each with a move of its own beside
+    rounds = [spark.createDataFrame([(n, n + 1), (100 + n, n + 1), (200 + n, 300 + n)], "pid bigint, into bigint") for n in range(8)]
+    out = identities.followed(rounds)
+    assert out._jdf.queryExecution().analyzed().collectLeaves().size() < 2 * len(rounds)
+    assert {r["pid"]: r["into"] for r in out.collect()} == {**{n: 8 for n in range(8)}, **{100 + n: 8 for n in range(8)}, **{200 + n: 300 + n for n in range(8)}}
+    assert out.count() == 24
