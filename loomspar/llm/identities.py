@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, product
 
 import numpy as np
@@ -52,6 +53,8 @@ _GIVEN = {short: full for full, shorts in NICKNAMES.items() for short in shorts.
 BROADCAST_ROWS = 200_000
 #: Words of a name or description that a type hint weighs as.
 HINT = 2.0
+#: Bits of a word's letters; a to z have one each.
+LETTERS = 29
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 _DOTTED = regex.compile(r"\b(?:\p{L}\.){2,}")
 _YEAR = regex.compile(r"\b(1[5-9]\d\d|20\d\d)\b")
@@ -100,6 +103,21 @@ def _profiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["entity_id", "kind", "names", "years", "places", "jobs"])
 
 
+@lru_cache(1 << 16)
+def letters_of(word: str) -> int:
+    """Bits of the letters that occur in a word; an edit changes two of them at most."""
+    out = 0
+    for c in word:
+        out |= 1 << ord(c) % LETTERS
+    return out
+
+
+@lru_cache(1 << 16)
+def word_distance(a: str, b: str) -> int:
+    """Edits from a to b; 3 if there are more than two."""
+    return 3 if (letters_of(a) ^ letters_of(b)).bit_count() > 4 else canon.edit_distance(a, b, 2)
+
+
 def names_agree(a: str, b: str, loose: bool = False) -> int | None:
     """Cost of taking two spellings for the same name (edits and initials), None if they aren't.
 
@@ -114,7 +132,7 @@ def names_agree(a: str, b: str, loose: bool = False) -> int | None:
             fa.remove(w), fb.remove(w)
             matched += 1
     for w in [*fa]:
-        best = min(((canon.edit_distance(w, v, 2), v) for v in fb), default=(9, ""))
+        best = min(((word_distance(w, v), v) for v in fb), default=(9, ""))
         if best[0] <= (2 if min(len(w), len(best[1])) >= 6 else 1):
             fa.remove(w), fb.remove(best[1])
             matched, cost = matched + 1, cost + best[0]
@@ -164,6 +182,7 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["a", "b", "agree", "cost", "ma", "mb"])
 
 
+@lru_cache(1 << 16)
 def word_keys(word: str) -> list[str]:
     """The word with up to one letter left out; of a very long word, thirds: one of them is the same after two edits."""
     return sorted(canon.variants(word, 1)) if len(word) <= 64 else [word[:20], word[len(word) // 2 - 10 : len(word) // 2 + 10], word[-20:]]
@@ -177,8 +196,25 @@ WRITTEN, INITIAL, DATED = 1, 2, 4
 MANY = 4
 
 
+#: A signature holds the letters of up to two words beside those of a key, a word from each of these bits on. Then the bit of
+#: names with initials, that of keys whose other words aren't told (none, or more than two), and that of profiles that state all,
+#: of which two may agree although a word differs altogether.
+SECOND, INITIALS, UNTOLD, STATED = 30, 1 << 60, 1 << 61, 1 << 62
+
+
+def signature(others: list[str], letters: list[str]) -> int:
+    if len(others) > 2:
+        return UNTOLD
+    return sum(letters_of(w) << SECOND * n for n, w in enumerate(others)) | (INITIALS if letters else 0)
+
+
 def name_keys(name: str) -> set[tuple[str, int]]:
-    """Block keys of a spelling, each with the bits of its side.
+    """Block keys of a spelling, each with the bits of its side."""
+    return {(key, side) for key, side, _ in signed_keys(name)}
+
+
+def signed_keys(name: str) -> frozenset[tuple[str, int, int]]:
+    """Block keys of a spelling, each with the bits of its side and the signature of the words that aren't in it whole (see ``_meet``).
 
     Any agreement of two names covers all their full words, so a key holds all of them: one as its deletion variants, of
     the others their first letters, or in names of two words also their last ones. Two spellings share a key unless
@@ -186,34 +222,36 @@ def name_keys(name: str) -> set[tuple[str, int]]:
     """
     left, _, letters = name.partition("|")
     full, letters = left.split(), sorted(set(letters))
-    out: set[tuple[str, int]] = set()
+    out: set[tuple[str, int, int]] = set()
     if len(full) > MANY:
         by_hash = sorted(set(full), key=xxhash.xxh64_intdigest)
-        out |= {(f"w {w}", 0) for w in by_hash[:5]} | {(f"ww {v} {w}", 0) for v, w in combinations(by_hash[:6], 2)}
+        out |= {(f"w {w}", 0, UNTOLD) for w in by_hash[:5]} | {(f"ww {v} {w}", 0, UNTOLD) for v, w in combinations(by_hash[:6], 2)}
         if len(full) > 2 * MANY:
             out = {k for k in out if k[0].startswith("ww")}
     if 2 <= len(full) <= 2 * MANY:
         for n, w in enumerate(full):
             others = full[:n] + full[n + 1 :]
+            sign = signature(others, letters)
             rest = [" ".join(sorted(x[:3] for x in others)), *(["$" + others[0][-3:]] if len(others) == 1 else [])]
-            out |= {(f"{len(full)} {v} {r}", 0) for v in word_keys(w) for r in rest}
+            out |= {(f"{len(full)} {v} {r}", 0, sign) for v in word_keys(w) for r in rest}
             if len(others) > 1:
-                out.add((f"{len(full)} {w} " + "".join(sorted(x[0] for x in others)), 0))
+                out.add((f"{len(full)} {w} " + "".join(sorted(x[0] for x in others)), 0, sign))
     if not full:
-        out.add((f"o {''.join(letters)}", 0))
+        out.add((f"o {''.join(letters)}", 0, UNTOLD))
     if len(full) <= MANY:
         for size in range(1, len(full) + 1):
             for kept in combinations(range(len(full)), size):
                 words = [full[k] for k in kept]
-                first = min((full[k][0] for k in range(len(full)) if k not in kept), default=None)
+                others = [full[k] for k in range(len(full)) if k not in kept]
+                first, sign = min((w[0] for w in others), default=None), signature(others, letters)
                 bases = word_keys(words[0]) if size == 1 else [" ".join(words)]
                 for base in bases:
                     if first:
-                        out.add((f"i{size} {base} {first}", WRITTEN))
-                    out |= {(f"i{size} {base} {c}", INITIAL) for c in letters}
+                        out.add((f"i{size} {base} {first}", WRITTEN, sign))
+                    out |= {(f"i{size} {base} {c}", INITIAL, sign) for c in letters}
                     if len(full) == 1:
-                        out |= {(f"ii {base} {c}", 0) for c in letters}
-    return out
+                        out |= {(f"ii {base} {c}", 0, UNTOLD) for c in letters}
+    return frozenset(out)
 
 
 def attribute_keys(kind: str, names: list[str], years: list[str], places: list[str], jobs: list[str]) -> set[tuple[str, int]]:
@@ -224,29 +262,53 @@ def attribute_keys(kind: str, names: list[str], years: list[str], places: list[s
     return {(f"a {y} {x} {w}", 0) for y in years for x in (*places, *jobs) for w in words}
 
 
+def _mixed(keys: np.ndarray, year: str) -> np.ndarray:
+    """Keys of the year from keys without one."""
+    mixed = (keys ^ np.uint64(xxhash.xxh64_intdigest(year))) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+@lru_cache(1 << 12)
+def _hashed(kind: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = signed_keys(name)
+    keys, sides, signs = zip(*found, strict=True) if found else ((), (), ())
+    prefix = kind[0] + " "
+    return np.array([xxhash.xxh64_intdigest(prefix + k) for k in keys], np.uint64), np.array(sides, np.int8), np.array(signs, np.int64)
+
+
 def _keys(attributes_only: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            pids, keys, sides = [], [], []
+            parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
             for pid, kind, names, years, places, jobs in frame.itertuples(index=False):
-                found = attribute_keys(kind, names, years, places, jobs)
-                for key, side in () if attributes_only else set().union(*(name_keys(n) for n in names)):
+                stated = len(years) > 0 and len(places) > 0 and len(jobs) > 0
+                if found := [xxhash.xxh64_intdigest(f"{kind[0]} {k}") for k, _ in attribute_keys(kind, names, years, places, jobs)]:
+                    parts.append((pid, np.array(found, np.uint64), np.zeros(len(found), np.int8), np.full(len(found), UNTOLD, np.int64)))
+                for name in () if attributes_only else names:
                     # dated profiles meet those of the same year, and undated ones
-                    found |= {(f"{key} {y}", side) for y in years}
-                    found.add((f"{key} ?", side | (DATED if len(years) else 0)))
-                pids += [pid] * len(found)
-                keys += [xxhash.xxh64_intdigest(f"{kind[0]} {k}") for k, _ in found]
-                sides += [s for _, s in found]
-            yield pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "pid": np.array(pids, np.int64), "side": np.array(sides, np.int8)})
+                    keys, sides, signs = _hashed(kind, name)
+                    signs = signs | np.int64(STATED if stated else 0)
+                    parts += [(pid, _mixed(keys, y), sides, signs) for y in years]
+                    parts.append((pid, _mixed(keys, "?"), sides | np.int8(DATED if len(years) else 0), signs))
+            if parts:
+                pids = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
+                keys, sides, signs = (np.concatenate([p[n] for p in parts]) for n in (1, 2, 3))
+                yield pd.DataFrame({"key": keys.view(np.int64), "pid": pids, "side": sides, "sign": signs})
 
     return run
 
 
 FIELDS = ("names", "years", "places", "jobs")
-_KEYED = "key bigint, pid bigint, side tinyint"
+_KEYED = "key bigint, pid bigint, side tinyint, sign bigint"
 _PAIRS = "a bigint, b bigint, agree int, cost int, ma int, mb int"
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are shuffle partitions: a few MB keep Python busy for long."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Pairs (a < b) with what they agree in (-1: they don't match), the cost, and the kinds of attributes either has."""
     side = lambda s: profiles.select(F.col("pid").alias(s), F.col("kind").alias(f"k{s}"), *(F.col(f).alias(f"{f}_{s}") for f in FIELDS))
@@ -254,8 +316,25 @@ def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return both.mapInPandas(_verify, _PAIRS)
 
 
-def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
-    met = left.alias("l").join(right.alias("r"), F.expr("l.key = r.key and l.pid <> r.pid and l.side & r.side = 0"))
+def _fits(of: str, into: str) -> str:
+    """SQL: each word whose letters a signature tells may be a word of the other, within two edits."""
+    word = lambda s, n: f"(shiftright({s}.sign, {n * SECOND}) & {(1 << SECOND) - 1})"
+    near_one = lambda n: " or ".join(f"bit_count({word(of, n)} ^ {word(into, m)}) <= 4" for m in (0, 1))
+    return " and ".join(f"({word(of, n)} = 0 or {near_one(n)})" for n in (0, 1))
+
+
+def _meet(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """Pairs of profiles (of left, or one of left and one of right) that have a key in common and whose words beside it can agree.
+
+    A word that isn't one of the other name's, up to two edits, is only right if the other name has its initial. Beside a key of
+    an abbreviation it is that of the written side's initials that counts; beside other keys, where both names have as many
+    words, either name then has a word that isn't the other's, so both have initials.
+    """
+    told = f"(l.sign | r.sign) & {UNTOLD} = 0 and l.sign & r.sign & {STATED} = 0"
+    initials = lambda s: f"{s}.sign & {INITIALS} <> 0"
+    possible = f"case when l.side & {WRITTEN} <> 0 then {initials('l')} or {_fits('r', 'l')} when r.side & {WRITTEN} <> 0 then {initials('r')} or {_fits('l', 'r')} else {initials('l')} and {initials('r')} or {_fits('l', 'r')} end"
+    order, right = ("<", left) if right is None else ("<>", right)
+    met = left.alias("l").join(right.alias("r"), F.expr(f"l.key = r.key and l.pid {order} r.pid and l.side & r.side = 0 and (not ({told}) or {possible})"))
     return met.select(F.least("l.pid", "r.pid").alias("a"), F.greatest("l.pid", "r.pid").alias("b")).distinct()
 
 
@@ -263,16 +342,17 @@ def _merges(pairs: DataFrame) -> tuple[DataFrame, int]:
     """(pid, into): profiles that merge in this round, and their number. No profile is on both sides."""
     edges = pairs.filter("agree >= 0")
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree", "cost", F.col("mb").alias("ma"), F.col("ma").alias("mb"))
-    both = edges.unionByName(turned)
     wider = (F.col("ma").bitwiseAND(F.bitwise_not("mb")) == 0) & ((F.col("ma") != F.col("mb")) | (F.col("b") < F.col("a")))
-    parent = both.filter(wider).groupBy("a").agg(F.min(F.struct((-F.col("agree")).alias("x"), (-F.bit_count("mb")).alias("y"), "cost", "b")).alias("p")).select(F.col("a").alias("pid"), F.col("p.b").alias("into"))
-    stars = cut(parent.join(parent.select(F.col("pid").alias("into")), "into", "left_anti").select("pid", "into"))
-    if n := stars.count():
-        return stars, n
     pair = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
-    best = both.groupBy("a").agg(F.min(F.struct((-F.col("agree")).alias("x"), "cost", pair.alias("h"), "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-    mutual = cut(best.alias("l").join(best.alias("r"), F.expr("l.a = r.b and l.b = r.a and l.a > r.a")).select(F.col("l.a").alias("pid"), F.col("l.b").alias("into")))
-    return mutual, mutual.count()
+    parent = F.min(F.when(wider, F.struct((-F.col("agree")).alias("x"), (-F.bit_count("mb")).alias("y"), "cost", "b")))
+    best = F.min(F.struct((-F.col("agree")).alias("x"), "cost", pair.alias("h"), "b"))
+    chosen = edges.unionByName(turned).groupBy("a").agg(parent.alias("p"), best.alias("q")).select("a", F.col("p.b").alias("parent"), F.col("q.b").alias("best"))
+    stars = chosen.alias("l").join(chosen.alias("r"), F.expr("l.parent = r.a and r.parent is null")).select(F.col("l.a").alias("pid"), F.col("l.parent").alias("into"), F.lit(True).alias("star"))
+    mutual = chosen.alias("l").join(chosen.alias("r"), F.expr("l.best = r.a and r.best = l.a and l.a > r.a")).select(F.col("l.a").alias("pid"), F.col("l.best").alias("into"), F.lit(False).alias("star"))
+    either = cut(stars.unionByName(mutual))
+    n = {r["star"]: r["count"] for r in either.groupBy("star").count().collect()}
+    star = True in n  # pairwise only where none has a wider one
+    return either.filter(F.col("star") == star).select("pid", "into"), n.get(star, 0)
 
 
 def followed(rounds: list[DataFrame]) -> DataFrame:
@@ -291,7 +371,7 @@ def resolve(profiles: DataFrame) -> DataFrame:
     """
     current = profiles
     keys = current.mapInPandas(_keys(False), _KEYED)
-    pairs = cut(_verified(_meet(keys, keys), current))
+    pairs = cut(_verified(_meet(keys), current))
     rounds = []
     while True:
         merges, n = _merges(pairs)
@@ -333,22 +413,34 @@ def kinds(nodes: DataFrame, entries: DataFrame, labels: DataFrame) -> DataFrame:
     forms = entries.join(labels, "ref_id").select(_plain_label("name").alias("form"), group.alias("known")).groupBy("form").agg(F.min("known").alias("known"))
     nodes = nodes.select("entity_id", "entity_name", "entity_description", "entity_type_hint", "class_label").distinct()
     hint = F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce("entity_type_hint", F.lit(""))), r"[^\p{L}]+", " "), F.lit(" ")), " +", " ")
-    terms = F.array_distinct(F.concat(
-        F.transform(F.regexp_extract_all(F.lower(F.coalesce("entity_name", F.lit(""))), F.lit(r"[\p{L}]{2,}|\p{N}"), F.lit(0)), lambda w: F.concat(F.lit("n "), w)),
-        F.transform(F.regexp_extract_all(F.regexp_replace(F.coalesce("entity_description", F.lit("")), r"\b\p{Lu}[\p{L}]{4,}", "X"), F.lit(r"[\p{L}]+|[*(]"), F.lit(0)), lambda w: F.concat(F.lit("d "), F.lower(w))),
-        F.when(F.length("hint") > 2, F.transform(F.sequence(F.lit(1), F.length("hint") - 2), lambda i: F.concat(F.lit("h "), F.substring(F.col("hint"), i, F.lit(3))))).otherwise(F.array().cast("array<string>")),
-    ))
+    texts = F.array(
+        F.concat(F.lit("n "), F.lower(F.coalesce("entity_name", F.lit("")))),
+        F.concat(F.lit("d "), F.regexp_replace(F.coalesce("entity_description", F.lit("")), r"\b\p{Lu}[\p{L}]{4,}", "X")),
+        F.concat(F.lit("h "), F.col("hint")),
+    )
     rows = nodes.withColumn("hint", hint).withColumn("form", _plain_label("class_label"))
-    rows = cut(rows.join(F.broadcast(forms), "form", "left").select("entity_id", "entity_name", "entity_description", "known", terms.alias("terms"), F.greatest(F.length("hint") - 2, F.lit(1)).alias("parts"), F.xxhash64("entity_id", "entity_name", "entity_description", "hint").alias("row")))  # the list is a fixed set of some hundred forms
+    rows = cut(rows.join(F.broadcast(forms), "form", "left").select("entity_id", "entity_name", "entity_description", "known", texts.alias("texts"), F.xxhash64("entity_id", "entity_name", "entity_description", "hint").alias("row")))  # the list is a fixed set of some hundred forms
     names = ("person", "organisation", "other")
     each = [F.sum(F.when(F.col("known") == k, 1).otherwise(0)).alias(k) for k in names]
-    counts = cut(rows.select("known", F.explode("terms").alias("term")).groupBy("term").agg(*each, F.count("*").alias("n")).filter("person + organisation + other >= 3"))
+    # texts recur: each is taken apart once, and counts as often as it stands
+    text = F.substring("text", 3, 1 << 30)
+    found = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    prefixed = lambda c, prefix: F.transform(c, lambda w: F.concat(F.lit(prefix), w))
+    terms = (
+        F.when(F.startswith("text", F.lit("n ")), prefixed(found(text, r"[\p{L}]{2,}|\p{N}"), "n "))
+        .when(F.startswith("text", F.lit("d ")), prefixed(F.transform(found(text, r"[\p{L}]+|[*(]"), F.lower), "d "))
+        .when(F.length("text") > 4, F.transform(F.sequence(F.lit(3), F.length("text") - 2), lambda i: F.concat(F.lit("h "), F.substring(F.col("text"), i, F.lit(3)))))
+    )
+    taken = rows.select("known", F.explode("texts").alias("text")).groupBy("text").agg(*each, F.sum(F.when(F.col("known").isNull(), 1).otherwise(0)).alias("unknown"))
+    taken = cut(taken.select("text", *names, "unknown", F.array_distinct(terms).alias("terms")))
+    counts = cut(taken.select(*names, F.when(F.col("unknown") > 0, 1).otherwise(0).alias("n"), F.explode("terms").alias("term")).groupBy("term").agg(*(F.sum(k).alias(k) for k in (*names, "n"))).filter("person + organisation + other >= 3 and n > 0"))
     size = rows.agg(*each).first() or dict.fromkeys(names, 0)
-    evidence = rows.filter("known is null").select("row", "parts", F.explode("terms").alias("term"))
-    weight = F.when(F.startswith("term", F.lit("h ")), HINT / F.col("parts")).otherwise(1.0)
-    # the weighed sum of log((count + 1/2) / (size + 1)) over the terms of a row
+    evidence = taken.filter("unknown > 0").select("text", "unknown", F.explode("terms").alias("term"))
+    weight = F.when(F.startswith("term", F.lit("h ")), HINT / (F.length("text") - 4)).otherwise(1.0)
+    # the weighed sum of log((count + 1/2) / (size + 1)) over the terms of a text, then over the texts of a row
     score = [F.sum(weight * F.log((F.col(k) + 0.5) / F.lit((size[k] or 0) + 1.0))).alias(k) for k in names]
-    guessed = spread_lookup(evidence, counts, "term", "n", "row").groupBy("row").agg(*score)
+    scores = cut(spread_lookup(evidence, counts, "term", "n", "text").groupBy("text").agg(*score, F.first("unknown").alias("unknown")))
+    guessed = spread_lookup(rows.filter("known is null").select("row", F.explode("texts").alias("text")), scores, "text", "unknown", "row").groupBy("row").agg(*(F.sum(k).alias(k) for k in names))
     guess = F.when((F.col("person") > F.col("other")) & (F.col("person") >= F.col("organisation")), "person").when(F.col("organisation") > F.col("other"), "organisation")
     decided = rows.join(guessed, "row", "left").select("entity_id", F.col("entity_name").alias("name"), F.col("entity_description").alias("description"), F.when(F.col("known").isNull(), guess).when(F.col("known") != "other", F.col("known")).alias("kind"))
     return decided
@@ -363,7 +455,7 @@ def link(entities: DataFrame) -> DataFrame:
     rows = entities.filter("kind is not null and entity_id is not null and (name is not null or description is not null)").select("entity_id", F.coalesce("name", F.lit("")).alias("name"), "description", "kind").distinct()
     parsed = rows.mapInPandas(_profiles, "entity_id string, kind string, names array<string>, years array<string>, places array<string>, jobs array<string>")
     parsed = cut(parsed.withColumn("pid", F.xxhash64("kind", *FIELDS)))
-    profiles = cut(parsed.groupBy("pid").agg(*(F.first(c).alias(c) for c in ("kind", *FIELDS)), F.count("*").alias("n")))  # equal within a pid
+    profiles = cut(parsed.groupBy("pid").agg(*(F.first(c).alias(c) for c in ("kind", *FIELDS)), F.count("*").alias("n")).transform(_spread))  # equal within a pid
     roots = resolve(profiles.select("pid", "kind", *FIELDS))
     known = cut(profiles.select("pid", "n").join(roots, "pid", "left").select("pid", "n", F.coalesce("into", "pid").alias("root")))
     return spread_lookup(parsed.select("entity_id", "pid"), known, "pid", "n", "entity_id").select("entity_id", "root").distinct()
@@ -377,7 +469,17 @@ def linked(spark: SparkSession, folder: str) -> DataFrame:
     return link(kinds(nodes, entries, labels))
 
 
+def pairs_of(links: DataFrame) -> DataFrame:
+    """All pairs of ids within a group, from (entity_id, root), distinct rows.
+
+    Two ids of which one has one group have one pair; only others are made distinct, so most pairs aren't exchanged.
+    """
+    ids = links.groupBy("entity_id").agg(F.collect_set("root").alias("roots"))
+    ids = cut(ids.select("entity_id", F.explode("roots").alias("root"), (F.size("roots") > 1).alias("several")))
+    pairs = lambda rows, which: rows.alias("l").join(rows.alias("r"), F.expr(f"l.root = r.root and l.entity_id < r.entity_id and {which}")).select(F.col("l.entity_id").alias("entity_id_a"), F.col("r.entity_id").alias("entity_id_b"))
+    return pairs(ids, "not (l.several and r.several)").unionByName(pairs(ids.filter("several"), "true").distinct())
+
+
 def found(spark: SparkSession, folder: str) -> DataFrame:
     """p3_found: all pairs of ids within a group."""
-    ids = cut(linked(spark, folder))
-    return ids.alias("l").join(ids.alias("r"), F.expr("l.root = r.root and l.entity_id < r.entity_id")).select(F.col("l.entity_id").alias("entity_id_a"), F.col("r.entity_id").alias("entity_id_b")).distinct()
+    return pairs_of(linked(spark, folder))

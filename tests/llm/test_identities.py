@@ -95,3 +95,39 @@ def test_plan_of_moves_grows_with_rounds_only(spark):
     assert out._jdf.queryExecution().analyzed().collectLeaves().size() < 2 * len(rounds)
     assert {r["pid"]: r["into"] for r in out.collect()} == {**{n: 8 for n in range(8)}, **{100 + n: 8 for n in range(8)}, **{200 + n: 300 + n for n in range(8)}}
     assert out.count() == 24
+
+
+def test_names_that_meet_can_agree(spark):
+    # a frequent word, the same initials and endings beside it, and another word
+    rare = [a + b + "irt" for a in "kr kl".split() for b in "bafo cegu dipy humo jaxe neqi sevu zypo tawc gyme".split()]
+    profiles = [(n, "organisation", [identities.spelling(f"International {w} Shipping", "organisation")]) for n, w in enumerate(rare)]
+    profiles += [(100 + n, "person", [identities.spelling(f"Oswald {w}", "person")]) for n, w in enumerate(rare)]
+    profiles += [(200 + n, "person", [identities.spelling(f"Oswald {w[0]}. M{w}", "person")]) for n, w in enumerate(rare[:12])]
+    frame = spark.createDataFrame([(*p, [], [], []) for p in profiles], "pid bigint, kind string, names array<string>, years array<string>, places array<string>, jobs array<string>")
+    keys = frame.mapInPandas(identities._keys(False), identities._KEYED)
+    met = {(r["a"], r["b"]) for r in identities._meet(keys, keys).collect()}
+    names = {p[0]: p[2][0] for p in profiles}
+    agree = {(a, b) for a in names for b in names if a < b and (a < 100) == (b < 100) and identities.names_agree(names[a], names[b]) is not None}
+    assert agree <= met
+    assert len(met) < len(agree) + 150  # of some 500 with the word and the initials or the ending in common
+
+
+def test_stated_persons_meet_with_another_word(spark):
+    rows = [("s1", "Anna Brovefant", "notary in Detern, born 1900"), ("s2", "Anna Quillimor", "notary in Detern, born 1900"), ("s3", "Anna Quillimor", "surgeon in Povant, born 1950")]
+    assert groups(spark, rows) == [["s1", "s2"], ["s3"]]
+
+
+def test_tables_of_a_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(identities, "cut", lambda df, cut=identities.cut: written.append(1) or cut(df))
+    pairs = spark.createDataFrame([(1, 2, 1, 0, 1, 1), (3, 4, -1, 0, 1, 1)], identities._PAIRS)
+    moves, n = identities._merges(pairs)
+    assert ([tuple(r) for r in moves.collect()], n) == ([(2, 1)], 1)
+    moves, n = identities._merges(spark.createDataFrame([(1, 2, 1, 0, 1, 2), (2, 3, 1, 1, 2, 4)], identities._PAIRS))  # none is wider
+    assert ([tuple(r) for r in moves.collect()], n) == ([(2, 1)], 1)
+    assert len(written) == 2
+
+
+def test_pairs_of_ids_in_several_groups(spark):
+    links = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("b", 2), ("c", 2), ("d", 3)], "entity_id string, root bigint")
+    assert sorted(map(tuple, identities.pairs_of(links).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
