@@ -303,6 +303,17 @@ _KEYED = "key bigint, pid bigint, side tinyint, sign bigint"
 _PAIRS = "a bigint, b bigint, agree int, cost int, ma int, mb int"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``cut`` without the estimate of df's size, which a checkpoint keeps.
+
+    An estimate of a join is the product of its inputs', so over rounds of joins its digits grow without bound, and with
+    them the driver's memory and time.
+    """
+    done = cut(df)
+    java = df.sparkSession._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(java, df.sparkSession)
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """df in as many parts as there are shuffle partitions: a few MB keep Python busy for long."""
     spark = df.sparkSession
@@ -349,7 +360,7 @@ def _merges(pairs: DataFrame) -> tuple[DataFrame, int]:
     chosen = edges.unionByName(turned).groupBy("a").agg(parent.alias("p"), best.alias("q")).select("a", F.col("p.b").alias("parent"), F.col("q.b").alias("best"))
     stars = chosen.alias("l").join(chosen.alias("r"), F.expr("l.parent = r.a and r.parent is null")).select(F.col("l.a").alias("pid"), F.col("l.parent").alias("into"), F.lit(True).alias("star"))
     mutual = chosen.alias("l").join(chosen.alias("r"), F.expr("l.best = r.a and r.best = l.a and l.a > r.a")).select(F.col("l.a").alias("pid"), F.col("l.best").alias("into"), F.lit(False).alias("star"))
-    either = cut(stars.unionByName(mutual))
+    either = settled(stars.unionByName(mutual))
     n = {r["star"]: r["count"] for r in either.groupBy("star").count().collect()}
     star = True in n  # pairwise only where none has a wider one
     return either.filter(F.col("star") == star).select("pid", "into"), n.get(star, 0)
@@ -371,7 +382,7 @@ def resolve(profiles: DataFrame) -> DataFrame:
     """
     current = profiles
     keys = current.mapInPandas(_keys(False), _KEYED)
-    pairs = cut(_verified(_meet(keys), current))
+    pairs = settled(_verified(_meet(keys), current))
     rounds = []
     while True:
         merges, n = _merges(pairs)
@@ -383,14 +394,14 @@ def resolve(profiles: DataFrame) -> DataFrame:
         moved = current.join(moves, "pid", "left")
         union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
         merged = moved.filter("into is not null").groupBy(F.col("into").alias("pid"), "kind").agg(*(union(c) for c in FIELDS)).withColumn("fresh", F.lit(True))
-        current = cut(moved.filter("into is null").select("pid", "kind", *FIELDS, F.lit(False).alias("fresh")).unionByName(merged))
+        current = settled(moved.filter("into is null").select("pid", "kind", *FIELDS, F.lit(False).alias("fresh")).unionByName(merged))
         stale = pairs.join(moves.select(F.col("pid").alias("a"), F.col("into").alias("a_into")), "a", "left").join(moves.select(F.col("pid").alias("b"), F.col("into").alias("b_into")), "b", "left")
         again = stale.filter("a_into is not null or b_into is not null").select(F.coalesce("a_into", "a").alias("a"), F.coalesce("b_into", "b").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         content = current.select("pid", "kind", *FIELDS)
         stated = current.filter("size(years) > 0 and size(places) > 0 and (kind <> 'person' or size(jobs) > 0)")  # others have no such keys
         richer = stated.filter("fresh").select("pid", "kind", *FIELDS).mapInPandas(_keys(True), _KEYED)
         further = _meet(richer, stated.select("pid", "kind", *FIELDS).mapInPandas(_keys(True), _KEYED))
-        pairs = cut(stale.filter("a_into is null and b_into is null").select("a", "b", "agree", "cost", "ma", "mb").unionByName(_verified(again.unionByName(further).distinct(), content)))
+        pairs = settled(stale.filter("a_into is null and b_into is null").select("a", "b", "agree", "cost", "ma", "mb").unionByName(_verified(again.unionByName(further).distinct(), content)))
         current = content
     if not rounds:
         return profiles.select("pid", F.col("pid").alias("into")).limit(0)

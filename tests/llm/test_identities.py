@@ -131,3 +131,13 @@ def test_tables_of_a_round(spark, monkeypatch):
 def test_pairs_of_ids_in_several_groups(spark):
     links = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("b", 2), ("c", 2), ("d", 3)], "entity_id string, root bigint")
     assert sorted(map(tuple, identities.pairs_of(links).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    df = spark.createDataFrame([(1,), (2,)], "a bigint")
+    digits = lambda d: len(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    first = None
+    for _ in range(4):
+        df = identities.settled(df.alias("l").join(df.alias("r"), "a").select("a"))
+        first = first or digits(df)
+    assert digits(df) == first and sorted(r["a"] for r in df.collect()) == [1, 2]
